@@ -2,9 +2,10 @@
 
 Fingerprints take word shingles with repeats; a bit is 1 if it is set in over half of the shingle
 hashes. Equal fingerprints are one point. A tree of vantage points, fitted on a bounded sample of
-the points, deals every point to one home shard and, as a query, to each shard that the triangle
-bound cannot rule out (|d(x, v) - d(y, v)| <= d(x, y)). Every shard builds its own tree. Shards
-return spanning links only, so a group of m near copies costs at most m links per shard.
+the points, deals them to shards; a point whose distance to a vantage point is within the radius
+below a boundary goes to both sides, so by the triangle bound |d(x, v) - d(y, v)| <= d(x, y) both
+ends of every link share a shard. Every shard builds its own tree in the same way. Shards return
+spanning links only, so a group of m near copies costs at most m links per shard.
 
 Null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id
 yield a row each; a null doc_id gets its group's component. An empty table gives no rows. Further
@@ -94,23 +95,22 @@ def upper_tree(sample: np.ndarray, shards: int) -> list[tuple]:
 
 
 def route(points: np.ndarray, nodes: list[tuple], radius: int):
-    """(point index, shard, home?) for every shard that a point's ball can reach."""
-    if not nodes:
-        n = len(points)
-        yield np.arange(n), 0, np.ones(n, bool)
-        return
-    stack = [(0, np.arange(len(points)), np.ones(len(points), bool))]
+    """(point index, shard): shards cover the points so that both ends of every link share one.
+
+    A node's two sides are d <= mu and d > mu - radius. Of two points that share neither side one
+    has d <= mu - radius and the other d > mu, so they are more than `radius` bits apart.
+    """
+    stack = [(0 if nodes else -1, np.arange(len(points)))]
     while stack:
-        k, idx, home = stack.pop()
+        k, idx = stack.pop()
         if not len(idx):
             continue
         if k < 0:
-            yield idx, -1 - k, home
+            yield idx, -1 - k
             continue
         v, mu, inside, outside = nodes[k]
         d = _distance(points[idx], np.uint64(v))
-        a, b = d <= mu + radius, d > mu - radius
-        stack += [(inside, idx[a], home[a] & (d[a] <= mu)), (outside, idx[b], home[b] & (d[b] > mu))]
+        stack += [(inside, idx[d <= mu]), (outside, idx[d > mu - radius])]
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,8 +131,8 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def shard_links(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between points of a shard, found with a vantage-point tree over its home points."""
+def shard_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between points of a shard, found with a vantage-point tree over them."""
     n, found = len(points), [[], []]
     held = 0
 
@@ -146,29 +146,26 @@ def shard_links(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.n
             rest = np.flatnonzero(label != np.arange(n))
             found[0], found[1], held = [rest], [label[rest]], 0
 
-    stack = [(np.flatnonzero(home), np.arange(n))]
+    stack = [np.arange(n)]
     while stack:
-        own, ask = stack.pop()
-        if not len(own) or not len(ask):
-            continue
-        mu = None
+        own = stack.pop()
         if len(own) > _LEAF:
             v = own[len(own) // 2]
-            dp, dq = _distance(points[own], points[v]), _distance(points[ask], points[v])
-            link(ask[dq <= radius], v)
-            mu = _split(dp)
-        if mu is None:
-            for i in range(0, len(own), _LEAF):
-                part = own[i : i + _LEAF]
-                for j in range(0, len(ask), 1 << 15):
-                    other = ask[j : j + (1 << 15)]
-                    near = np.bitwise_count(points[part][:, None] ^ points[other][None, :]) <= radius
-                    x, y = np.nonzero(near)
-                    keep = part[x] != other[y]
-                    link(part[x[keep]], other[y[keep]])
-            continue
-        stack.append((own[dp <= mu], ask[dq <= mu + radius]))
-        stack.append((own[dp > mu], ask[dq > mu - radius]))
+            d = _distance(points[own], points[v])
+            link(own[d <= radius], v)
+            if 2 * int(d.max()) <= radius:
+                continue  # any two of them are linked, and all are linked to v
+            mu = _split(d)
+            if mu is not None and not (d > mu - radius).all():
+                stack += [own[d <= mu], own[d > mu - radius]]
+                continue
+        for i in range(0, len(own), 256):
+            part = own[i : i + 256]
+            for j in range(i, len(own), 1 << 14):
+                other = own[j : j + (1 << 14)]
+                x, y = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[other][None, :]) <= radius)
+                keep = part[x] < other[y]
+                link(part[x[keep]], other[y[keep]])
     if not found[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     label = _labels(n, np.concatenate(found[0]), np.concatenate(found[1]))
@@ -185,16 +182,15 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     def deal(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
-            for idx, shard, home in route(fps.view(np.uint64), nodes, radius):
-                yield pa.record_batch([pa.array(np.full(len(idx), shard, np.int32)), pa.array(fps[idx]), pa.array(home)], names=["shard", "fp", "home"])
+            for idx, shard in route(fps.view(np.uint64), nodes, radius):
+                yield pa.record_batch([pa.array(np.full(len(idx), shard, np.int32)), pa.array(fps[idx])], names=["shard", "fp"])
 
     def search(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy()
-        home = group.column("home").to_numpy()
-        a, b = shard_links(fps.view(np.uint64), home, radius)
+        a, b = shard_links(fps.view(np.uint64), radius)
         return pa.table({"a": fps[a], "b": fps[b]})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
+    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
