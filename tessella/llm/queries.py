@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .secrets import op1_secret_scans
 from .simhash import op9_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
