@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op3_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
+from .pieces import op4_sentencepiece
 from .secrets import op1_secret_scans
 from .simhash import op9_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_sentencepiece": op4_sentencepiece,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
