@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op3_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
+from .language import op7_language_id
 from .pieces import op4_sentencepiece
 from .secrets import op1_secret_scans
 from .simhash import op9_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
