@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op3_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
 from .language import op7_language_id
+from .licenses import ORACLE as LICENSES
+from .licenses import op10_license_scans
 from .pieces import op4_sentencepiece
 from .secrets import op1_secret_scans
 from .simhash import op9_simhash_near_dedup
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_license_scans": op10_license_scans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_license_scans": LICENSES}
