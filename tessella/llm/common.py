@@ -22,13 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+def materialize(df: DataFrame, tag: str, *folders: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder, in folders by columns, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def mark() -> int:

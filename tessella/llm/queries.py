@@ -14,9 +14,11 @@ from .licenses import op10_license_scans
 from .pieces import op4_sentencepiece
 from .secrets import op1_secret_scans
 from .simhash import op9_simhash_near_dedup
+from .suffixes import op2_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_language_id": op7_language_id,
