@@ -12,6 +12,7 @@ from .language import op7_language_id
 from .licenses import ORACLE as LICENSES
 from .licenses import op10_license_scans
 from .pieces import op4_sentencepiece
+from .pitman_yor import op5_lm_scoring
 from .secrets import op1_secret_scans
 from .simhash import op9_simhash_near_dedup
 from .suffixes import op2_suffix_array_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
