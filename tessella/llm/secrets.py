@@ -131,7 +131,7 @@ def with_matches(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def discovery_limit(matched: DataFrame, fdr: float = FDR) -> tuple[float, float]:
     """(mean run length, the largest p / weight that counts) by weighted Benjamini-Hochberg; -1 if none does."""
-    runs = matched.select(F.explode("_runs").alias("r")).select("r.n", "r.p")
+    runs = matched.select(F.explode_outer("_runs").alias("r")).select("r.n", "r.p").where("n IS NOT NULL")
     bins = F.least(F.greatest(F.floor(-F.log(F.col("p") / F.col("n")) * BIN_SCALE) + BINS // 4, F.lit(0)), F.lit(BINS - 1))
     # p / n is binned first; the mean length only shifts it
     rows = runs.groupBy(bins.alias("bin")).agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max(F.col("p") / F.col("n")).alias("top")).collect()
