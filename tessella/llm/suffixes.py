@@ -39,11 +39,12 @@ WINDOW, GRAM = 100, 32
 #: Text bytes of a batch (its documents stay whole), and of the input for each shard.
 BATCH_BYTES, SHARD_BYTES = 1 << 22, 1 << 22
 HOT = 4096
-_PLACE_BITS = 22
+_PLACE_BITS = 19
 _SPAN = WINDOW - GRAM + 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_LEVEL_BATCHES, _LEAST_BATCH = 8, 8192
+#: Windows of a batch of an index, at least and at most.
+_LEAST_BATCH, _MOST_BATCH = 8192, 65536
 
 
 def _power(k: int) -> np.uint64:
@@ -122,9 +123,9 @@ def segments(texts: list[bytes]):
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -165,7 +166,7 @@ def _write_batches(docs: DataFrame, shards: int) -> DataFrame:
 
     def emit(ids, texts, batch):
         lens = np.array([len(t) for t in texts], np.int64)
-        rows = [(0, batch, batch, _pack(np.array(ids, np.int64), lens, np.frombuffer(b"".join(texts), np.uint8)))]
+        rows = [(0, batch, batch, _pack(np.array(ids, np.int64), lens, np.frombuffer(b"".join(texts), np.uint8), level=4))]
         gram, count = np.unique(segments(texts)[3], return_counts=True)
         for shard, at in _by_shard((gram % _U(shards)).astype(np.int64)):
             rows.append((1, shard, batch, _pack((gram[at] // _U(shards)).astype(np.uint32), np.minimum(count[at], 1 << 30).astype(np.int32))))
@@ -321,7 +322,7 @@ def _match(group: pa.Table) -> pa.Table:
     begin = np.cumsum(size) - size
     order = np.lexsort((first, doc, batch, ids))
     windows = np.cumsum(count[order])
-    step = max(_LEAST_BATCH, -(-int(windows[-1]) // _LEVEL_BATCHES))
+    step = min(_MOST_BATCH, max(_LEAST_BATCH, -(-int(windows[-1]) // 8)))
     family, found, i = SuffixFamily(), [], 0
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(windows, (windows[i - 1] if i else 0) + step, "right")))
@@ -329,13 +330,8 @@ def _match(group: pa.Table) -> pa.Table:
         n = count[own].astype(np.int64)
         owner = np.repeat(np.arange(len(own)), n)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[own][owner] + inside
-        low, high = int(at.min()), int(at.max()) + WINDOW
-        if high - low <= 4 * size[own].sum() + (1 << 20):
-            keys = suffix_keys(x[low:high], at - low)
-        else:
-            near = np.concatenate([x[b : b + s] for b, s in zip(begin[own].tolist(), size[own].tolist())])
-            keys = suffix_keys(near, np.repeat(np.cumsum(size[own]) - size[own], n) + inside)
+        near = np.concatenate([x[b : b + s] for b, s in zip(begin[own].tolist(), size[own].tolist())])
+        keys = suffix_keys(near, np.repeat(np.cumsum(size[own]) - size[own], n) + inside)
         again = np.flatnonzero(family.add(keys))
         if len(again):
             s = own[owner[again]]
