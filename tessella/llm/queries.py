@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op3_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
+from .images import op6_media_columns
 from .language import op7_language_id
 from .licenses import ORACLE as LICENSES
 from .licenses import op10_license_scans
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_media_columns": op6_media_columns,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
