@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -47,6 +48,32 @@ def release(spark: SparkSession, since: int = 0, until: int | None = None) -> No
             _written[k] = ""
 
 
+#: Rows of an Arrow batch; texts are long, and a batch lies several times in memory.
+BATCH_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after Spark's default of 10000 rows an Arrow batch, if it holds, is set to BATCH_ROWS."""
+    if df.sparkSession.conf.get(_ROWS_CONF, "10000") == "10000":
+        df.sparkSession.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+    return df
+
+
+def trimmed(function):
+    """A batch function whose worker gives freed memory back at the end of a partition."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return run
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

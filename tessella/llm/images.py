@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SCALES, CORNERS = (1.0, 1.5), 12
+SCALES, CORNERS = (1.0, 1.5), 16
 PATCH, TURNS, BITS = 7, 24, 256
 TABLES, RADIUS, VOTES = 8, 24, 5
 #: Cells of a vote: octaves of scale, turns of 45 degrees, pixels of shift.
 CELL = 6.0
-_FEATURES = "y float, x float, scale float, turn int, d array<long>"
+_FEATURES = "k int, y float, x float, scale float, turn int, d array<long>"
 
 
 def _pattern() -> np.ndarray:
@@ -121,7 +121,11 @@ def features(images: DataFrame) -> DataFrame:
                     stack = np.stack([np.frombuffer(pixels[k].as_py(), np.uint8).reshape(h, w) for k in own])
                     image, y, x, scale, turn, d = describe(stack)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(d) + 1, 4, dtype=np.int32)), pa.array(d.ravel()))
-                    yield pa.record_batch([pa.array(ids[np.array(own)[image]], pa.int64()), pa.array(y, pa.float32()), pa.array(x, pa.float32()), pa.array(scale, pa.float32()), pa.array(turn, pa.int32()), lists], names=["image_id", "y", "x", "scale", "turn", "d"])
+                    # corners of an image by number, over all scales
+                    order = np.argsort(image, kind="stable")
+                    rank = np.empty(len(image), np.int32)
+                    rank[order] = np.arange(len(image)) - np.searchsorted(image[order], image[order])
+                    yield pa.record_batch([pa.array(ids[np.array(own)[image]], pa.int64()), pa.array(rank), pa.array(y, pa.float32()), pa.array(x, pa.float32()), pa.array(scale, pa.float32()), pa.array(turn, pa.int32()), lists], names=["image_id", "k", "y", "x", "scale", "turn", "d"])
 
     return images.where("image_id IS NOT NULL").select("image_id", "height", "width", "pixels").mapInArrow(run, f"image_id long, {_FEATURES}")
 
@@ -138,14 +142,18 @@ def copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]
     single = lambda df, of: df.join(of.where("image_id = class_id").select("image_id").distinct(), "image_id", "left_semi").dropDuplicates(["image_id"])
     known, ask = materialize(features(single(images, member)), "features"), materialize(features(single(queries, asked)), "features")
 
-    def keyed(df: DataFrame, *names: str) -> DataFrame:
-        at = [F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(F.get("d", F.lit(t // 2)), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")) for t in range(TABLES)]
-        columns = [F.col(a).alias(b) for a, b in zip(("image_id", "y", "x", "scale", "turn", "d"), names)]
-        return df.select(*columns, F.explode(F.array(*at)).alias("k")).select(*names, "k.t", "k.v")
+    def keyed(df: DataFrame, image: str, corner: str) -> DataFrame:
+        """One row per table, with a key and no descriptor: the side of all images is long."""
+        at = [F.xxhash64(F.lit(t), F.shiftrightunsigned(F.get("d", F.lit(t // 2)), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))) for t in range(TABLES)]
+        return df.select(F.col("image_id").alias(image), F.col("k").alias(corner), F.explode(F.array(*at)).alias("key"))
 
-    left, right = keyed(ask, "query_id", "y1", "x1", "s1", "r1", "d1"), keyed(known, "class_id", "y2", "x2", "s2", "r2", "d2")
+    def named(df: DataFrame, image: str, corner: str, n: int) -> DataFrame:
+        return df.select(F.col("image_id").alias(image), F.col("k").alias(corner), *(F.col(a).alias(f"{b}{n}") for a, b in zip(("y", "x", "scale", "turn", "d"), "yxsrd")))
+
+    met = keyed(ask, "query_id", "q").join(keyed(known, "class_id", "c"), "key").drop("key").distinct()
+    near = met.join(named(ask, "query_id", "q", 1), ["query_id", "q"]).join(named(known, "class_id", "c", 2), ["class_id", "c"])
     apart = sum(F.bit_count(F.get("d1", F.lit(k)).bitwiseXOR(F.get("d2", F.lit(k)))) for k in range(4))
-    near = left.join(right, ["t", "v"]).where(apart <= RADIUS).drop("d1", "d2", "t", "v")
+    near = near.where(apart <= RADIUS)
     turn = (F.col("r2") - F.col("r1")) * (2 * np.pi / TURNS)
     grow = F.col("s2") / F.col("s1")
     ty = F.col("y2") - grow * (F.cos(turn) * F.col("y1") - F.sin(turn) * F.col("x1"))
@@ -160,15 +168,13 @@ def copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def render(vectors: DataFrame, edited: bool) -> DataFrame:
-    """A grey image of rectangles drawn from a vector; edited: cropped, and with other contrast."""
+    """A grey image of smooth grain drawn from a vector; edited: cropped, and with other contrast."""
 
     def draw(vector) -> np.ndarray:
         seed = xxhash.xxh64_intdigest(np.rint(np.array(vector, np.float64) * 1000).astype(np.int64).tobytes())
         rng = np.random.default_rng(seed)
-        image = np.full((56, 56), 128, np.uint8)
-        for y, x, h, w, v in zip(*(rng.integers(0, n, 30) for n in (52, 52, 20, 20, 256))):
-            image[y : y + h + 4, x : x + w + 4] = v
-        return image
+        grain = rng.integers(0, 256, (1, 15, 15)).astype(np.float32)
+        return _resize(grain, 15 / 56)[0].astype(np.uint8)
 
     def run(batches):
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, table
+from .common import byte_texts, chunks, small_batches, table, trimmed
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 TRAIN_DOCS, TRAIN_WINDOWS = 500, 4
@@ -186,15 +186,17 @@ def identify(docs: DataFrame, net: ByteNetwork | None, *keep: str) -> DataFrame:
     tables = net.tables() if net else None
     shared = docs.sparkSession.sparkContext.broadcast((net, tables))  # about six megabytes, whatever the input
 
+    at = keep.index("text") if "text" in keep else len(keep)
+    given = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col("text").cast("string").alias("_text"))
+
     def run(batches):
         own, by_pair = shared.value
         for b in batches:
-            labels, scores = predictions(byte_texts(b.column(b.num_columns - 1)), own, by_pair)
-            yield pa.record_batch([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+            labels, scores = predictions(byte_texts(b.column(at)), own, by_pair)
+            yield pa.record_batch([*b.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    given = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1])
-    return given.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return small_batches(given).mapInArrow(trimmed(run), f"{schema}, lang_pred string, score double")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

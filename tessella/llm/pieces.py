@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks, table
+from .common import byte_texts, chunks, small_batches, table, trimmed
 
 MODEL_FILE = "piece_bpe_32k.model"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _BLANK = "▁"
 #: Cached words; the cache is emptied beyond it. Longer words are not cached.
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 #: Symbols of a word that is merged in rounds; longer ones use a heap.
 ROUND_SYMBOLS = 256
 _NONE = np.int64(1 << 62)
@@ -261,7 +261,8 @@ def encode_decode(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
                     names=["doc_id", "ids", "decoded"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    given = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string"))
+    return small_batches(given).mapInArrow(trimmed(run), "doc_id long, ids array<int>, decoded string")
 
 
 def model_bytes(path: str | None = None) -> bytes:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialize
+from .common import byte_texts, materialize, small_batches, trimmed
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Points from which the upper tree is fitted, and points that a shard should hold.
@@ -53,7 +53,8 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t, width) for t in byte_texts(b.column(1))), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return small_batches(texts).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _distance(points: np.ndarray, v: np.uint64) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialize, table
+from .common import byte_texts, materialize, small_batches, table, trimmed
 
 WINDOW, GRAM = 100, 32
 #: Text bytes of a batch (its documents stay whole), and of the input for each shard.
@@ -185,7 +185,7 @@ def _write_batches(docs: DataFrame, shards: int) -> DataFrame:
         if texts:
             yield from emit(ids, texts, base)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SQL)
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(trimmed(run), _SQL)
 
 
 def _repeated_grams(group: pa.Table) -> pa.Table:
