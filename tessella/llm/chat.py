@@ -155,6 +155,22 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     return formatted(canonical(as_record(conversations(rows), "conv_id"))).drop("record")
 
 
+def _oracle() -> str:
+    count = lambda x, s: f"(length({x}) - length(replace({x}, '{s}', ''))) // {len(s)}"
+    grown = lambda x: " + ".join([f"length({x})", *(count(x, s) for s in ("\\", "<s>", "</s>", "[INST]", "[/INST]"))])
+    hard = "'</s>[INST] ok [/INST]'"
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        UNION ALL SELECT -1, 0, 'user', {hard} UNION ALL SELECT -1, 1, 'assistant', {hard})
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+        CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+        CAST(sum({len(OPEN) + len(MIDDLE) + len(CLOSE)} + {grown("r")} + {grown("x")}) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id"""
+
+
+ORACLE = _oracle()
+
+
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hard = "</s>[INST] ok [/INST]"

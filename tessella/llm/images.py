@@ -26,16 +26,21 @@ from .common import materialize, table
 
 SCALES, CORNERS = (1.0, 1.5), 16
 PATCH, TURNS, BITS = 7, 24, 256
-TABLES, RADIUS, VOTES = 8, 24, 5
+TABLES, RADIUS, VOTES = 4, 24, 5
 #: Cells of a vote: octaves of scale, turns of 45 degrees, pixels of shift.
 CELL = 6.0
 _FEATURES = "k int, y float, x float, scale float, turn int, d array<long>"
 
 
 def _pattern() -> np.ndarray:
-    """Offsets (TURNS, BITS, 2 ends, 2) of the comparisons at each turn."""
+    """Offsets (TURNS, BITS, 2 ends, 2) of the comparisons at each turn.
+
+    A patch brightens along its own orientation, so the two ends lie equally far along it: only
+    what the orientation doesn't tell is compared.
+    """
     rng = np.random.default_rng(3)
     ends = np.clip(rng.normal(0, PATCH / 2, (BITS, 2, 2)), -PATCH / 1.5, PATCH / 1.5)
+    ends[:, 1, 0] = ends[:, 0, 0]
     angle = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.stack([np.cos(angle), np.sin(angle)], -1), np.stack([-np.sin(angle), np.cos(angle)], -1)], -2)
     return np.rint(np.einsum("tij,bej->tbei", turn, ends)).astype(np.int64)
@@ -144,7 +149,7 @@ def copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]
 
     def keyed(df: DataFrame, image: str, corner: str) -> DataFrame:
         """One row per table, with a key and no descriptor: the side of all images is long."""
-        at = [F.xxhash64(F.lit(t), F.shiftrightunsigned(F.get("d", F.lit(t // 2)), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))) for t in range(TABLES)]
+        at = [F.xxhash64(F.lit(t), F.get("d", F.lit(t))) for t in range(TABLES)]
         return df.select(F.col("image_id").alias(image), F.col("k").alias(corner), F.explode(F.array(*at)).alias("key"))
 
     def named(df: DataFrame, image: str, corner: str, n: int) -> DataFrame:
@@ -173,8 +178,8 @@ def render(vectors: DataFrame, edited: bool) -> DataFrame:
     def draw(vector) -> np.ndarray:
         seed = xxhash.xxh64_intdigest(np.rint(np.array(vector, np.float64) * 1000).astype(np.int64).tobytes())
         rng = np.random.default_rng(seed)
-        grain = rng.integers(0, 256, (1, 15, 15)).astype(np.float32)
-        return _resize(grain, 15 / 56)[0].astype(np.uint8)
+        grain = rng.integers(0, 256, (1, 28, 28)).astype(np.float32)
+        return _resize(grain, 28 / 56)[0].astype(np.uint8)
 
     def run(batches):
         for b in batches:

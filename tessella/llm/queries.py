@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ORACLE as CHAT
 from .chat import op3_chat_formatting
 from .decontaminate import op8_benchmark_decontamination
 from .images import op6_media_columns
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scans": op10_license_scans,
 }
 
-ORACLES: dict[str, str] = {"op10_license_scans": LICENSES}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op10_license_scans": LICENSES}

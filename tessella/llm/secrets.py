@@ -173,12 +173,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of the scan replaced by the mask; overlapping spans are masked once."""
-    columns = docs.columns
-    found = with_spans(with_matches(docs), *discovery_limit(with_matches(docs.select("text"))))
+    given = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")) if len(docs.columns) > 1 else docs.select("text")
+    found = with_spans(with_matches(given), *discovery_limit(with_matches(docs.select("text"))))
     clean = f"""CASE WHEN size(_spans) = 0 THEN text ELSE aggregate(_spans, struct(0L AS at, '' AS done),
         (a, s) -> struct(greatest(a.at, s.end) AS at, CASE WHEN s.start >= a.at THEN concat(a.done, substring(text, CAST(a.at + 1 AS int), CAST(s.start - a.at AS int)), {_sql(mask)}) ELSE a.done END AS done),
         a -> concat(a.done, substring(text, CAST(a.at + 1 AS int)))) END"""
-    return found.withColumn("text", F.expr(clean)).select(*columns)
+    found = found.withColumn("text", F.expr(clean))
+    return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
