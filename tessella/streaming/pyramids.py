@@ -63,7 +63,8 @@ def running_counts(df: DataFrame, key: str) -> DataFrame:
 def closed_tiles(df: DataFrame, time: str, value: str, key: str, width_seconds: int, delay: str) -> DataFrame:
     """A stateful tiler: per key it holds open bins and emits those that its own newest position has passed.
 
-    Rows before the last emitted bin are counted as late and dropped.
+    Rows before the last emitted bin are counted as late and dropped. A key that stays silent while
+    the watermark passes its newest bin is closed and forgotten.
     """
     out_schema = f"{key} string, start long, n long, sum double, late long"
 
@@ -89,11 +90,11 @@ def closed_tiles(df: DataFrame, time: str, value: str, key: str, width_seconds:
         for s in done:
             del bins[s]
         state.update((list(bins), [int(v[0]) for v in bins.values()], [float(v[1]) for v in bins.values()], late, shut))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max((newest + 2 * width_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, "start", "n", "sum", "late"])
 
-    timed = event_time(df, time).withWatermark(time, delay).select(F.col(key).cast("string").alias(key), F.unix_seconds(time).alias("_s"), F.col(value).cast("double").alias("_v"))
-    return timed.groupBy(key).applyInPandasWithState(update, out_schema, "starts array<long>, counts array<long>, sums array<double>, late long, shut long", "append", "ProcessingTimeTimeout")
+    timed = event_time(df, time).withWatermark(time, delay).select(time, F.col(key).cast("string").alias(key), F.unix_seconds(time).alias("_s"), F.col(value).cast("double").alias("_v"))
+    return timed.groupBy(key).applyInPandasWithState(update, out_schema, "starts array<long>, counts array<long>, sums array<double>, late long, shut long", "append", "EventTimeTimeout")
 
 
 def write_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
