@@ -116,6 +116,28 @@ def arcs(items: DataFrame, x: int, z: int, max_width: int, most: int = 25, deepe
     return once.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def canonical_pair(a: str, b: str) -> tuple[Column, Column]:
+    """The lesser and the greater of two coordinates: one triangle for symmetric data."""
+    return F.least(a, b).alias(a), F.greatest(a, b).alias(b)
+
+
+def nonzero(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is neither 0 nor missing."""
+    return df.where(F.col(value).isNotNull() & (F.col(value) != 0))
+
+
+def starting_rows(rows: DataFrame, lo: int, hi: int, start: str = "start") -> DataFrame:
+    """Rows that start in [lo, hi], both ends included; on sorted files the scan skips row groups."""
+    return rows.where((F.col(start) >= lo) & (F.col(start) <= hi))
+
+
+def genome_sorted(df: DataFrame, sizes: DataFrame, chrom: str = "chrom", start: str = "start") -> DataFrame:
+    """Rows by absolute position: a range sort, so each partition is one stretch of the axis."""
+    from ..functions.coords import to_absolute
+
+    return to_absolute(df, sizes, chrom, abs_start=start).sort("abs_start")
+
+
 def merged_islands(items: DataFrame, keys: tuple[str, ...], start: str, end: str) -> DataFrame:
     """Numbers the groups of overlapping intervals of each key: running maximum of ends, then a running count of gaps."""
     order = Window.partitionBy(*keys).orderBy(start, end)

@@ -89,6 +89,20 @@ def common_transforms(tables: list[DataFrame], candidates: tuple[str, ...] = ("w
     return [c for c in candidates if all(c in t.columns for t in tables)]
 
 
+def region_pixels(pixels: DataFrame, bins: DataFrame, first: tuple[str, int, int], second: tuple[str, int, int]) -> DataFrame:
+    """Annotated pixels whose bins overlap two regions (chrom, start, end), in either order of storage."""
+    both = annotated(mirrored(pixels), bins, "chrom", "start", "end")
+    hit = lambda k, r: (F.col(f"chrom{k}") == r[0]) & (F.col(f"start{k}") < r[2]) & (F.col(f"end{k}") > r[1])
+    return both.where(hit("1", first) & hit("2", second))
+
+
+def filled_tiles(cells: DataFrame, deepest: int, side: int = 256) -> DataFrame:
+    """z, x, y, n of every non-empty tile of a matrix (i, j): what a crawl down the quad-tree visits."""
+    up = cells.select("i", "j", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("z"))
+    width = F.lit(side) * F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(deepest) - F.col("z"))
+    return up.groupBy("z", F.floor(F.col("j") / width).cast("long").alias("x"), F.floor(F.col("i") / width).cast("long").alias("y")).agg(F.count("*").alias("n"))
+
+
 def children(tiles: DataFrame, filled: Column) -> DataFrame:
     """The four children of each non-empty tile (z, x, y): one step of a crawl down a quad-tree."""
     grid = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))

@@ -414,6 +414,29 @@ def triangularity_violations(spark, sf):
     return annotations.below_diagonal(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey").select("l_orderkey", "l_partkey", "l_suppkey")
 
 
+@query("canonical_pairs", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem GROUP BY ALL")
+def canonical_pairs(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return df.select(*intervals.canonical_pair("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("ignore_zero", "SELECT l_orderkey, l_linenumber, l_partkey, l_discount FROM lineitem WHERE l_discount <> 0")
+def ignore_zero(spark, sf):
+    return intervals.nonzero(table(spark, sf, "lineitem"), "l_discount").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+
+
+@query("starting_rows", f"SELECT event_id, pos FROM {_E} WHERE pos >= 100000 AND pos <= 200000")
+def starting_rows(spark, sf):
+    return intervals.starting_rows(events(spark, sf), 100_000, 200_000, "pos").select("event_id", "pos")
+
+
+@query("genome_sorted", f"SELECT c_custkey, offs + c_custkey % 500 AS abs_start FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN {_AXIS} a ON a.chrom = n_name")
+def genome_sorted(spark, sf):
+    df = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = df.select("c_custkey", F.col("n_name").alias("chrom"), (F.col("c_custkey") % 500).alias("start"))
+    return intervals.genome_sorted(df, nation_axis(spark, sf)).select("c_custkey", "abs_start")
+
+
 # ---- vectors
 
 
@@ -550,6 +573,24 @@ def transforms_intersection(spark, sf):
     return spark.createDataFrame([(t,) for t in matrix.common_transforms([bins, bins.withColumn("VC", F.lit(1.0))])], "transform string")
 
 
+@query("filled_tiles", f"SELECT z, j // (4 * (1 << CAST(3 - z AS INT))) AS x, i // (4 * (1 << CAST(3 - z AS INT))) AS y, count(*) AS n FROM (SELECT unnest(range(0, 4)) AS z, * FROM {_CELLS} WHERE i <= j) GROUP BY ALL")
+def filled_tiles(spark, sf):
+    return matrix.filled_tiles(nation_cells(spark, sf).where("i <= j"), 3, 4)
+
+
+_NB = "(SELECT n_nationkey AS b, 'r' || n_regionkey AS chrom, n_nationkey * 10 AS s, n_nationkey * 10 + 10 AS e FROM nation)"
+
+
+@query(
+    "region_pixels",
+    f"WITH m AS (SELECT bin1, bin2, c FROM {_PIX} UNION ALL SELECT bin2, bin1, c FROM {_PIX} WHERE bin1 <> bin2) SELECT bin1, bin2, c AS count FROM m JOIN {_NB} p ON bin1 = p.b JOIN {_NB} q ON bin2 = q.b WHERE p.chrom = 'r1' AND p.s < 200 AND p.e > 15 AND q.chrom = 'r2' AND q.s < 300 AND q.e > 0",
+)
+def region_pixels(spark, sf):
+    k = F.col("n_nationkey").cast("long")
+    bins = table(spark, sf, "nation").select(k.alias("bin_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("chrom"), (k * 10).alias("start"), (k * 10 + 10).alias("end"))
+    return matrix.region_pixels(nation_contacts(spark, sf)[0], bins, ("r1", 15, 200), ("r2", 0, 300)).select("bin1", "bin2", "count")
+
+
 @query("quadtree_children", "SELECT z + 1 AS z, 2 * x + a AS x, 2 * y + b AS y FROM (SELECT CAST(n_regionkey AS BIGINT) AS z, CAST(n_nationkey AS BIGINT) AS x, CAST(n_nationkey % 7 AS BIGINT) AS y FROM nation WHERE n_nationkey % 2 = 0), (VALUES (0), (1)) AS s(a), (VALUES (0), (1)) AS t(b)")
 def quadtree_children(spark, sf):
     k = F.col("n_nationkey").cast("long")

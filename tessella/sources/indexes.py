@@ -68,6 +68,21 @@ def read_database(spark: SparkSession, path: str, query: str, schema: str) -> Da
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+#: Columns of database tilesets by kind.
+TABLES = {
+    "beddb": ("SELECT id, zoomLevel, importance, startPos, endPos, chrOffset, uid, name, fields FROM intervals", "id long, zoomLevel int, importance double, startPos long, endPos long, chrOffset long, uid string, name string, fields string"),
+    "bed2ddb": ("SELECT id, zoomLevel, importance, fromX, toX, fromY, toY, chrOffset, uid, fields FROM intervals", "id long, zoomLevel int, importance double, fromX long, toX long, fromY long, toY long, chrOffset long, uid string, fields string"),
+    "gjdb": ("SELECT id, zoomLevel, importance, minLng, maxLng, minLat, maxLat, uid, geometry, properties FROM intervals", "id long, zoomLevel int, importance double, minLng double, maxLng double, minLat double, maxLat double, uid string, geometry string, properties string"),
+    "imtiles": ("SELECT z, y, x, image FROM tiles", "z int, y long, x long, image binary"),
+}
+
+
+def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The items of a database tileset; raw fields are split at tabs."""
+    df = read_database(spark, path, *TABLES[kind])
+    return df.withColumn("fields", F.split("fields", "\t")) if "fields" in df.columns else df
+
+
 def image_tiles(tiles: DataFrame, requests: DataFrame) -> DataFrame:
     """tile_id, image (base64) of requested image tiles; tiles has z, y, x, image."""
     return requests.join(tiles, ["z", "x", "y"], "left").select("tile_id", F.base64("image").alias("image"))
