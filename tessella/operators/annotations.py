@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .intervals import merged_islands
 
 
@@ -48,12 +49,19 @@ def gene_predictions(records: DataFrame) -> DataFrame:
 
 
 def unsorted_rows(rows: DataFrame, order: tuple[str, ...], pos: tuple[str, ...]) -> DataFrame:
-    """Rows whose positions come before those of the row above them in a given order."""
-    from pyspark.sql import Window
+    """Rows whose positions come before those of the row above them in a given order.
 
-    above = Window.orderBy(*order)
-    before = F.lag(F.struct(*pos)).over(above)
-    return rows.withColumn("_b", before).where(F.col("_b") > F.struct(*pos)).drop("_b")
+    Rows are range-sorted and compared within their range; only each range's first row is compared
+    with the last one of the range before, so no task sees more than its range.
+    """
+    columns = rows.columns
+    ranged = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_o", F.struct(*order)).withColumn("_v", F.struct(*pos)), "ranges")
+    inside = Window.partitionBy("_p").orderBy("_o")
+    own = ranged.withColumn("_b", F.lag("_v").over(inside))
+    edges = ranged.groupBy("_p").agg(F.min("_o").alias("_o"), F.max_by("_v", "_o").alias("_last"))
+    before = edges.select("_p", "_o", F.lag("_last").over(Window.orderBy("_p")).alias("_edge"))  # a row a range
+    joined = own.join(F.broadcast(before), ["_p", "_o"], "left")
+    return joined.where(F.coalesce("_b", "_edge") > F.col("_v")).select(columns)
 
 
 def below_diagonal(rows: DataFrame, a: str, b: str) -> DataFrame:

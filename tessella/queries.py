@@ -125,14 +125,14 @@ def bedgraph_interval_bins(spark, sf):
     return rounded(pyramid.interval_bins(df, "a", "b", "v", 64).select("bin", "n", "sum", "min", "max"), "sum", digits=2)
 
 
-@query("signal_whisker", f"SELECT event_type, pos // 86400 AS bin, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM {_E} GROUP BY ALL")
+@query("signal_whisker", f"SELECT event_type, pos // 86400 AS bin, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean, round(stddev_pop(value), 7) AS std FROM {_E} GROUP BY ALL")
 def signal_whisker(spark, sf):
-    return rounded(signal.window_summary(events(spark, sf), "pos", "value", 86400, "whisker", ("event_type",)), "mean", "std")
+    return rounded(signal.window_summary(events(spark, sf), "pos", "value", 86400, "whisker", ("event_type",)), "mean", digits=9).withColumn("std", F.round("std", 7))
 
 
-@query("signal_std", f"SELECT pos // 43200 AS bin, round(stddev_pop(value), 4) AS std FROM {_E} GROUP BY ALL")
+@query("signal_std", f"SELECT pos // 43200 AS bin, round(stddev_pop(value), 7) AS std FROM {_E} GROUP BY ALL")
 def signal_std(spark, sf):
-    return rounded(signal.window_summary(events(spark, sf), "pos", "value", 43200, "std"), "std")
+    return rounded(signal.window_summary(events(spark, sf), "pos", "value", 43200, "std"), "std", digits=7)
 
 
 @query("signal_minmax", f"SELECT pos // 43200 AS bin, min(value) AS min, max(value) AS max FROM {_E} GROUP BY ALL")

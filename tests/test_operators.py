@@ -220,3 +220,10 @@ def test_alignments(spark):
     df = spark.createDataFrame(rows, "qname string, flag int, rname string, pos long, mapq int, cigar string, md string, tags map<string,string>")
     got = {r.id: (r["from"], r.to, r.strand, [tuple(c) for c in r.cigars]) for r in sequences.alignments(df).collect()}
     assert got == {"r_1": (4, 8, "+", [(2, 3, "S")]), "s": (1, 4, "-", [(4, 1, "X")])}
+
+
+def test_unsorted_rows_across_ranges(spark):
+    r = random.Random(3)
+    at = [r.randrange(1000) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(at)), "k long, p long").repartition(3)
+    assert {x.k for x in annotations.unsorted_rows(df, ("k",), ("p",)).collect()} == {k for k in range(1, 400) if at[k] < at[k - 1]}
