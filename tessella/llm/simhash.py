@@ -192,7 +192,8 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pa.table({"a": fps[a], "b": fps[b]})
 
     dealt = points.select("fp").mapInArrow(deal, "shard int, fp long")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    # shards are few bytes and much work: a partition each, not coalesced by size
+    return dealt.repartition(2 * max(1, -(-n // SHARD)), "shard").groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
