@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import byte_texts, materialize, small_batches, table, trimmed
 
 WINDOW, GRAM = 100, 32
-#: Text bytes of a batch (its documents stay whole), and of the input for each shard.
-BATCH_BYTES, SHARD_BYTES = 1 << 22, 1 << 22
+#: Text bytes of a batch (its documents stay whole), and of the input for each shard; a small input
+#: is dealt to SPREAD shards all the same.
+BATCH_BYTES, SHARD_BYTES, SPREAD = 1 << 22, 1 << 25, 96
 HOT = 4096
 _PLACE_BITS = 19
 _SPAN = WINDOW - GRAM + 1
@@ -387,7 +388,7 @@ def _finish(group: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (byte spans, maximal and in order) and kept (the remaining bytes)."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, -(-total // SHARD_BYTES))
+    shards = max(-(-total // SHARD_BYTES), min(SPREAD, 1 + (total >> 20)))
     dealt = materialize(_write_batches(docs, shards), "batches", "kind")
     texts, grams = dealt.where("kind = 0"), dealt.where("kind = 1")
     answers = grams.groupBy("key").applyInArrow(_repeated_grams, _SQL)
