@@ -11,8 +11,24 @@ from ..functions.coords import floor_div, inverse_mercator, mercator
 REQUEST_LIMIT = 100_000
 
 
-def _asked(requests: DataFrame) -> DataFrame:
-    return F.broadcast(requests) if requests.limit(REQUEST_LIMIT + 1).count() <= REQUEST_LIMIT else requests
+def _levels(requests: DataFrame, *axes: str) -> tuple[list, DataFrame]:
+    """Extent of the requests at each level, in one job; the requests, to be broadcast if they are few."""
+    rows = requests.groupBy("z").agg(F.count("*").alias("n"), *(f(c).alias(f"{m}_{c}") for c in axes for m, f in (("lo", F.min), ("hi", F.max)))).collect()
+    few = sum(r.n for r in rows) <= REQUEST_LIMIT
+    asked = requests.select("tile_id", F.col("z").alias("_z"), *(F.col(c).alias(f"_{c}") for c in axes))
+    return sorted(rows, key=lambda r: r.z), F.broadcast(asked) if few else asked
+
+
+def _per_level(rows: list, max_width: int, *axes: str) -> Column:
+    """Array of (z, width, and lo and hi by axis) of the requested levels."""
+    fields = [f"{m}_{c}" for c in axes for m in ("lo", "hi")]
+    return F.array(*(F.struct(F.lit(r.z).alias("z"), F.lit(max_width >> r.z).cast("long").alias("w"), *(F.lit(r[f]).cast("long").alias(f) for f in fields)) for r in rows))
+
+
+def _cut(start: Column, end: Column, axis: str) -> Column:
+    """Tile numbers of an interval at the level _l, cut to the extent of its requests."""
+    w = F.col("_l.w")
+    return F.sequence(F.greatest(floor_div(start, w), F.col(f"_l.lo_{axis}")), F.least(floor_div(end, w), F.col(f"_l.hi_{axis}")))
 
 
 def overlaps(start: Column, end: Column, lo: Column, hi: Column) -> Column:
@@ -33,59 +49,57 @@ def walked_tiles(start: Column, end: Column, width: int) -> Column:
 
 
 def tile_intervals(items: DataFrame, requests: DataFrame, max_width: int, start: str = "startPos", end: str = "endPos", zoom: str | None = "zoomLevel") -> DataFrame:
-    """tile_id and the items of each requested 1-D tile (tile_id, z, x).
+    """tile_id and the items of each requested 1-D tile (tile_id, z, x), in one scan for all levels.
 
-    Items are cut to the extent of the requests of a level before they are exploded, so a long item
-    makes rows for asked tiles only. With `zoom`, an item shows from its level on.
+    An item is cut to the extent of a level's requests before it is exploded, so a long item makes
+    rows for asked tiles only. With `zoom`, an item shows from its level on.
     """
-    levels = [r.z for r in requests.select("z").distinct().collect()]
-    out = None
-    for z in sorted(levels):
-        width = max_width >> z
-        asked = requests.where(F.col("z") == z)
-        lo, hi = asked.agg(F.min("x"), F.max("x")).first()
-        near = items.where(overlaps(F.col(start), F.col(end), F.lit(lo * width), F.lit((hi + 1) * width)))
-        if zoom:
-            near = near.where(F.col(zoom) <= z)
-        cut = F.sequence(F.greatest(floor_div(F.col(start), width), F.lit(lo)), F.least(floor_div(F.col(end), width), F.lit(hi)))
-        hit = near.withColumn("_x", F.explode(cut)).join(_asked(asked.select("tile_id", F.col("x").alias("_x"))), "_x").drop("_x")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    rows, asked = _levels(requests, "x")
+    if not rows:
+        return items.select(F.lit("").alias("tile_id"), *items.columns).limit(0)
+
+    def shows(v: Column) -> Column:
+        near = overlaps(F.col(start), F.col(end), v.lo_x * v.w, (v.hi_x + 1) * v.w)
+        return near & (F.col(zoom) <= v.z) if zoom else near
+
+    at = items.withColumn("_l", F.explode(F.filter(_per_level(rows, max_width, "x"), shows)))
+    at = at.withColumn("_x", F.explode(_cut(F.col(start), F.col(end), "x"))).withColumn("_z", F.col("_l.z"))
+    return at.join(asked, ["_z", "_x"]).select("tile_id", *items.columns)
 
 
 def tile_rectangles(items: DataFrame, requests: DataFrame, max_width: int, zoom: str | None = "zoomLevel", names: tuple[str, str, str, str] = ("fromX", "toX", "fromY", "toY")) -> DataFrame:
-    """tile_id and the rectangles of each requested 2-D tile (tile_id, z, x, y)."""
-    out = None
-    x0, x1, y0, y1 = names
-    for z in sorted(r.z for r in requests.select("z").distinct().collect()):
-        width = max_width >> z
-        asked = requests.where(F.col("z") == z)
-        a, b, c, d = asked.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        near = items.where(overlaps(F.col(x0), F.col(x1), F.lit(a * width), F.lit((b + 1) * width)) & overlaps(F.col(y0), F.col(y1), F.lit(c * width), F.lit((d + 1) * width)))
-        if zoom:
-            near = near.where(F.col(zoom) <= z)
-        side = lambda s, e, lo, hi: F.explode(F.sequence(F.greatest(floor_div(F.col(s), width), F.lit(lo)), F.least(floor_div(F.col(e), width), F.lit(hi))))  # noqa: E731, B023
-        hit = near.withColumn("_x", side(x0, x1, a, b)).withColumn("_y", side(y0, y1, c, d))
-        hit = hit.join(_asked(asked.select("tile_id", F.col("x").alias("_x"), F.col("y").alias("_y"))), ["_x", "_y"]).drop("_x", "_y")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    """tile_id and the rectangles of each requested 2-D tile (tile_id, z, x, y), in one scan for all levels."""
+    rows, asked = _levels(requests, "x", "y")
+    if not rows:
+        return items.select(F.lit("").alias("tile_id"), *items.columns).limit(0)
+    x0, x1, y0, y1 = (F.col(n) for n in names)
+
+    def shows(v: Column) -> Column:
+        near = overlaps(x0, x1, v.lo_x * v.w, (v.hi_x + 1) * v.w) & overlaps(y0, y1, v.lo_y * v.w, (v.hi_y + 1) * v.w)
+        return near & (F.col(zoom) <= v.z) if zoom else near
+
+    at = items.withColumn("_l", F.explode(F.filter(_per_level(rows, max_width, "x", "y"), shows)))
+    at = at.withColumn("_x", F.explode(_cut(x0, x1, "x"))).withColumn("_y", F.explode(_cut(y0, y1, "y"))).withColumn("_z", F.col("_l.z"))
+    return at.join(asked, ["_z", "_x", "_y"]).select("tile_id", *items.columns)
 
 
 def tile_features(items: DataFrame, requests: DataFrame, zoom: str | None = "zoomLevel") -> DataFrame:
     """tile_id and the features (minLng, maxLng, minLat, maxLat) of Mercator tiles; latitude grows upwards."""
-    out = None
-    for z in sorted(r.z for r in requests.select("z").distinct().collect()):
-        asked = requests.where(F.col("z") == z)
-        a, b, c, d = asked.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        left, top = mercator(F.col("minLng"), F.col("maxLat"), z)
-        right, bottom = mercator(F.col("maxLng"), F.col("minLat"), z)
-        clip = lambda v, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(v)))
-        near = items.where(F.col(zoom) <= z) if zoom else items
-        near = near.where((F.floor(left) <= b) & (F.floor(right) >= a) & (F.floor(top) <= d) & (F.floor(bottom) >= c))
-        hit = near.withColumn("_x", F.explode(F.sequence(clip(left, a, b), clip(right, a, b)))).withColumn("_y", F.explode(F.sequence(clip(top, c, d), clip(bottom, c, d))))
-        hit = hit.join(_asked(asked.select("tile_id", F.col("x").alias("_x"), F.col("y").alias("_y"))), ["_x", "_y"]).drop("_x", "_y")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    rows, asked = _levels(requests, "x", "y")
+    if not rows:
+        return items.select(F.lit("").alias("tile_id"), *items.columns).limit(0)
+    left, top = mercator(F.col("minLng"), F.col("maxLat"), 0)
+    right, bottom = mercator(F.col("maxLng"), F.col("minLat"), 0)
+    tile = lambda v, z: F.floor(v * F.pow(F.lit(2.0), z)).cast("long")
+
+    def shows(v: Column) -> Column:
+        near = (tile(F.col("_a"), v.z) <= v.hi_x) & (tile(F.col("_b"), v.z) >= v.lo_x) & (tile(F.col("_c"), v.z) <= v.hi_y) & (tile(F.col("_d"), v.z) >= v.lo_y)
+        return near & (F.col(zoom) <= v.z) if zoom else near
+
+    side = lambda p, q, axis: F.explode(F.sequence(F.greatest(tile(F.col(p), F.col("_l.z")), F.col(f"_l.lo_{axis}")), F.least(tile(F.col(q), F.col("_l.z")), F.col(f"_l.hi_{axis}"))))
+    at = items.withColumns({"_a": left, "_b": right, "_c": top, "_d": bottom}).withColumn("_l", F.explode(F.filter(_per_level(rows, 1, "x", "y"), shows)))
+    at = at.withColumn("_x", side("_a", "_b", "x")).withColumn("_y", side("_c", "_d", "y")).withColumn("_z", F.col("_l.z"))
+    return at.join(asked, ["_z", "_x", "_y"]).select("tile_id", *items.columns)
 
 
 def list_items(items: DataFrame, lo: int, hi: int, most: int | None = None, start: str = "startPos", end: str = "endPos", order: tuple[str, ...] = ("startPos", "uid")) -> DataFrame:

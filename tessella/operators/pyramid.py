@@ -80,6 +80,18 @@ def tile(levels: DataFrame, z: int, x: int, tile_bins: int, stored: list[int], k
     return read_level(near, z, [s], keys).withColumn("bin", F.col("bin") - lo)
 
 
+def tiles(levels: DataFrame, requests: DataFrame, tile_bins: int, stored: list[int]) -> DataFrame:
+    """tile_id, bin (from 0) and state of all requested tiles (tile_id, z, x), in one scan of the levels they need."""
+    zs = sorted(r.z for r in requests.select("z").distinct().collect())
+    pairs = F.array(*(F.struct(F.lit(z).alias("z"), F.lit(stored_level(z, stored)).alias("s")) for z in zs))
+    near = levels.where(F.col("z").isin([stored_level(z, stored) for z in zs]))
+    near = near.withColumn("_l", F.explode(F.filter(pairs, lambda p: p.s == F.col("z"))))
+    near = near.withColumn("_b", shifted(F.col("bin"), F.greatest(F.col("_l.s") - F.col("_l.z"), F.lit(0))))
+    asked = requests.select("tile_id", F.col("z").alias("_z"), F.col("x").alias("_x"))
+    hit = near.withColumn("_z", F.col("_l.z")).withColumn("_x", floor_div(F.col("_b"), tile_bins)).join(F.broadcast(asked), ["_z", "_x"])
+    return hit.groupBy("tile_id", (F.col("_b") - F.col("_x") * tile_bins).alias("bin")).agg(*merged_state())
+
+
 def summed(df: DataFrame, pos: str, value: str, width: int, policy: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """bin, value under one of the missing-value policies."""
     return df.groupBy(*keys, floor_div(F.col(pos), width).alias("bin")).agg(POLICIES[policy](missing(F.col(value))).alias("value"))

@@ -62,14 +62,16 @@ def _dense(found: DataFrame, n: int, fill: float | None = None) -> DataFrame:
 def signal_tiles(data: DataFrame, info: Info, tile_ids: list[str], mode: str = "mean") -> DataFrame:
     """Dense tiles of a pyramid: mean, sum, min, max or std."""
     value = {"mean": pyramid.mean(), "std": pyramid.std(), "sum": F.col("sum"), "min": F.col("min"), "max": F.col("max")}
-    out = None
-    for t in tile_ids:
-        p = tileid.parse(t)
-        if not 0 <= p.x < 1 << p.z or p.z > info.max_zoom:
-            continue
-        own = pyramid.tile(data, p.z, p.x, info.tile_size, info.stored or list(range(info.max_zoom + 1))).select(F.lit(t).alias("tile_id"), "bin", value[p.mode or mode].alias("value"))
-        out = own if out is None else out.unionByName(own)
-    return _dense(out, info.tile_size)
+    spark = data.sparkSession
+    good = [t for t in tile_ids if 0 <= (p := tileid.parse(t)).x < 1 << p.z and p.z <= info.max_zoom]
+    asked = tileid.requests(spark, good)
+    states = pyramid.tiles(data, asked, info.tile_size, info.stored or list(range(info.max_zoom + 1)))
+    own = value[mode]
+    for t in good:
+        chosen = tileid.parse(t).mode or mode
+        if chosen != mode:
+            own = F.when(F.col("tile_id") == t, value[chosen]).otherwise(own)
+    return _dense(states.select("tile_id", "bin", own.alias("value")), info.tile_size)
 
 
 def vector_tiles(data: DataFrame, info: Info, tile_ids: list[str], sizes: DataFrame, base: int = 1) -> DataFrame:
@@ -84,16 +86,14 @@ def vector_tiles(data: DataFrame, info: Info, tile_ids: list[str], sizes: DataFr
 
 
 def matrix_tiles(data: DataFrame, info: Info, tile_ids: list[str]) -> DataFrame:
-    """Dense tiles of a stored matrix pyramid (z, i, j, value); raises beyond the deepest level."""
-    out = None
+    """Dense tiles of a stored matrix pyramid (z, i, j, value), in one scan; raises beyond the deepest level."""
     for t in tile_ids:
-        p = tileid.parse(t, 2)
-        if p.z > info.max_zoom:
-            raise ValueError(f"zoom level {p.z} of {t} is beyond {info.max_zoom}")
-        own = matrix.block_tile(data.where(F.col("z") == p.z), p.z, p.x, p.y, p.z, info.tile_size, "keep")
-        own = own.select(F.lit(t).alias("tile_id"), (F.col("i") * info.tile_size + F.col("j")).alias("bin"), "value")
-        out = own if out is None else out.unionByName(own)
-    return _dense(out, info.tile_size**2)
+        if tileid.parse(t, 2).z > info.max_zoom:
+            raise ValueError(f"zoom level of {t} is beyond {info.max_zoom}")
+    n = info.tile_size
+    asked = F.broadcast(tileid.requests(data.sparkSession, tile_ids, 2).select("tile_id", "z", F.col("x").alias("_x"), F.col("y").alias("_y")))
+    near = data.withColumn("_x", F.floor(F.col("j") / n).cast("long")).withColumn("_y", F.floor(F.col("i") / n).cast("long")).join(asked, ["z", "_x", "_y"])
+    return _dense(near.select("tile_id", ((F.col("i") - F.col("_y") * n) * n + F.col("j") - F.col("_x") * n).alias("bin"), "value"), n * n)
 
 
 def array_tiles(data: DataFrame, info: Info, tile_ids: list[str]) -> DataFrame:
