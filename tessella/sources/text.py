@@ -41,10 +41,9 @@ def fields(spark: SparkSession, path: str | list[str], delimiter: str | None = N
     """
     lines = spark.read.text(path)
     if header:
-        lines = lines.withColumn("_at", F.col("_metadata.file_block_start"))
-        order = F.monotonically_increasing_id()
-        first = lines.withColumn("_n", order).where("_at = 0").groupBy(F.spark_partition_id().alias("_p")).agg(F.min("_n").alias("_n"))
-        lines = lines.withColumn("_n", order).join(F.broadcast(first.select("_n")), "_n", "left_anti")
+        lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_n", F.monotonically_increasing_id())
+        first = lines.where("_at = 0").groupBy("_file").agg(F.min("_n").alias("_n"))  # a row a file
+        lines = lines.join(first, ["_file", "_n"], "left_anti")
     split = F.split(F.trim("value"), r"\s+") if delimiter is None else F.split(F.rtrim("value"), f"\\Q{delimiter}\\E")
     return lines.where(F.length(F.trim("value")) > 0).select(F.col("value").alias("_line"), split.alias("_f"))
 

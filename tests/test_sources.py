@@ -43,6 +43,8 @@ def test_bed(spark, tmp_path, axis):
 def test_header_is_dropped(spark, tmp_path, axis):
     p = put(tmp_path / "h.bed", "chrom start end\nchr1 1 2\nchr1 5 9\n")
     assert text.read_bed(spark, p, axis, header=True).count() == 2
+    q = put(tmp_path / "i.bed", "chrom start end\nchr2 7 8\n")
+    assert sorted(r.start for r in text.read_bed(spark, [p, q], axis, header=True).collect()) == [1, 5, 7]
 
 
 def test_bedpe(spark, tmp_path, axis):
