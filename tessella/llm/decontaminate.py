@@ -79,7 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
     cut = windows(docs, known)
     if cut is None:
         cut = known.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("start"), "m", "width", "w").limit(0)
-    cut = materialize(cut, "windows").withColumn("s", F.expr(_shingles("w", "width"))).withColumn("fp", F.expr(_fingerprint("s")))
+    # windows are few bytes and much work, so they aren't coalesced by size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(cut.repartition(parts, "doc_id", "start"), "windows").withColumn("s", F.expr(_shingles("w", "width"))).withColumn("fp", F.expr(_fingerprint("s")))
     left = cut.withColumn("x", F.explode(_blocks(radius))).select("doc_id", "start", "m", "s", "fp", "x.block", "x.value")
     right = known.withColumn("x", F.explode(_blocks(radius))).select("item_id", "m", F.col("s").alias("t"), F.col("fp").alias("fp2"), "x.block", "x.value")
     near = left.join(right, ["m", "block", "value"]).withColumn("hamming", F.expr("bit_count(fp ^ fp2)")).where(F.col("hamming") <= radius)
