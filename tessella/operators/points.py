@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def square_extent(points: DataFrame) -> tuple[float, float, float]:
     """min x, min y and the longer side of a point cloud."""
@@ -99,6 +101,9 @@ def autocomplete(entries: DataFrame, name: str, importance: str, most: int = 10,
 
 
 def dictionary_codes(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values and their codes from 0, in order; partitions of a range sort number themselves."""
-    values = df.select(column).distinct().sort(column)
-    return values.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF(values.schema.add("code", "long"))
+    """Distinct values and their codes from 0, in order: numbered within ranges, then shifted by the ranges before."""
+    values = written(df.select(column).distinct().repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "values")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    shifts = values.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column))
+    return values.withColumn("_k", place).join(F.broadcast(shifts), "_p").select(column, (F.col("_k") - 1 + F.col("_s")).cast("long").alias("code"))
