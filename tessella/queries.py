@@ -57,7 +57,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
 
 _E = "(SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000 AS pos FROM events)"
 _GAPS = f"(SELECT pos, event_type, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM {_E})"
-_UP = f"SELECT unnest(range(0, {LEVELS + 1})) AS z, * FROM"
+_UP = f"SELECT CAST(unnest(range(0, {LEVELS + 1})) AS INT) AS z, * FROM"
 _BIN = f"pos // ({BASE} * (1 << CAST({LEVELS} - z AS INT)))"
 
 
@@ -440,7 +440,7 @@ def genome_sorted(spark, sf):
 # ---- vectors
 
 
-_HOT = f"(SELECT 'all' AS chrom, pos // 3600 AS bin, k AS row, CASE WHEN event_type = s THEN 1.0 ELSE 0.0 END AS value FROM {_E}, (VALUES " + ", ".join(f"('{s}', {k})" for k, s in enumerate(TYPES)) + ") AS t(s, k))"
+_HOT = f"(SELECT 'all' AS chrom, pos // 3600 AS bin, k AS row, CAST(event_type = s AS DOUBLE) AS value FROM {_E}, (VALUES " + ", ".join(f"('{s}', {k})" for k, s in enumerate(TYPES)) + ") AS t(s, k))"
 
 
 def state_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -453,7 +453,7 @@ def multivec_states_onehot(spark, sf):
     return state_vectors(spark, sf).groupBy("bin", "row").agg(F.sum("value").alias("value"))
 
 
-@query("multivec_halving_sum", f"SELECT k, bin // (1 << CAST(k AS INT)) AS bin, row, sum(value) AS value FROM (SELECT unnest(range(0, 6)) AS k, * FROM {_HOT}) GROUP BY ALL")
+@query("multivec_halving_sum", f"SELECT k, bin // (1 << CAST(k AS INT)) AS bin, row, sum(value) AS value FROM (SELECT CAST(unnest(range(0, 6)) AS INT) AS k, * FROM {_HOT}) GROUP BY ALL")
 def multivec_halving_sum(spark, sf):
     return multivec.halving(state_vectors(spark, sf), 5).drop("chrom")
 
@@ -467,7 +467,7 @@ def typed_signal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "multivec_logsumexp",
-    f"WITH u AS (SELECT k, chrom, bin // (1 << CAST(k AS INT)) AS bin, row, value FROM (SELECT unnest(range(0, 4)) AS k, * FROM {_SIG})), m AS (SELECT k, chrom, bin, row, max(value) AS m FROM u GROUP BY ALL) SELECT k, chrom, bin, row, round(any_value(m) + ln(sum(exp(value - m))), 6) AS value FROM u JOIN m USING (k, chrom, bin, row) GROUP BY ALL",
+    f"WITH u AS (SELECT k, chrom, bin // (1 << CAST(k AS INT)) AS bin, row, value FROM (SELECT CAST(unnest(range(0, 4)) AS INT) AS k, * FROM {_SIG})), m AS (SELECT k, chrom, bin, row, max(value) AS m FROM u GROUP BY ALL) SELECT k, chrom, bin, row, round(any_value(m) + ln(sum(exp(value - m))), 6) AS value FROM u JOIN m USING (k, chrom, bin, row) GROUP BY ALL",
 )
 def multivec_logsumexp(spark, sf):
     return rounded(multivec.halving(typed_signal(spark, sf), 3, "logsumexp"), "value", digits=6)
@@ -497,7 +497,7 @@ def zip_files(spark, sf):
 # ---- matrices
 
 
-_CELLS = "(SELECT c_nationkey AS i, s_nationkey AS j, CAST(count(*) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+_CELLS = "(SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
 
 
 def nation_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -526,7 +526,7 @@ def matrix_coarsen_2x2(spark, sf):
     return matrix.coarsen(nation_cells(spark, sf))
 
 
-@query("matrix_pyramid", f"SELECT z, i // (1 << CAST(3 - z AS INT)) AS i, j // (1 << CAST(3 - z AS INT)) AS j, sum(value) AS value FROM (SELECT unnest(range(0, 4)) AS z, * FROM {_CELLS}) GROUP BY ALL")
+@query("matrix_pyramid", f"SELECT z, i // (1 << CAST(3 - z AS INT)) AS i, j // (1 << CAST(3 - z AS INT)) AS j, sum(value) AS value FROM (SELECT CAST(unnest(range(0, 4)) AS INT) AS z, * FROM {_CELLS}) GROUP BY ALL")
 def matrix_pyramid(spark, sf):
     return pyramid.matrix_pyramid(nation_cells(spark, sf), 3)
 
@@ -573,7 +573,7 @@ def transforms_intersection(spark, sf):
     return spark.createDataFrame([(t,) for t in matrix.common_transforms([bins, bins.withColumn("VC", F.lit(1.0))])], "transform string")
 
 
-@query("filled_tiles", f"SELECT z, j // (4 * (1 << CAST(3 - z AS INT))) AS x, i // (4 * (1 << CAST(3 - z AS INT))) AS y, count(*) AS n FROM (SELECT unnest(range(0, 4)) AS z, * FROM {_CELLS} WHERE i <= j) GROUP BY ALL")
+@query("filled_tiles", f"SELECT z, j // (4 * (1 << CAST(3 - z AS INT))) AS x, i // (4 * (1 << CAST(3 - z AS INT))) AS y, count(*) AS n FROM (SELECT CAST(unnest(range(0, 4)) AS INT) AS z, * FROM {_CELLS} WHERE i <= j) GROUP BY ALL")
 def filled_tiles(spark, sf):
     return matrix.filled_tiles(nation_cells(spark, sf).where("i <= j"), 3, 4)
 
@@ -687,7 +687,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(k.alias("uid"), (k % 340 - 170.0).alias("minLng"), (k % 340 - 170.0 + k % 9).alias("maxLng"), (k % 150 - 75.0).alias("minLat"), (k % 150 - 75.0 + k % 7).alias("maxLat"), F.lit(0).alias("zoomLevel"))
 
 
-_BOX = "(SELECT c_custkey AS uid, c_custkey % 340 - 170.0 AS x0, c_custkey % 340 - 170.0 + c_custkey % 9 AS x1, c_custkey % 150 - 75.0 AS y0, c_custkey % 150 - 75.0 + c_custkey % 7 AS y1 FROM customer)"
+_BOX = "(SELECT c_custkey AS uid, CAST(c_custkey % 340 - 170 AS DOUBLE) AS x0, CAST(c_custkey % 340 - 170 + c_custkey % 9 AS DOUBLE) AS x1, CAST(c_custkey % 150 - 75 AS DOUBLE) AS y0, CAST(c_custkey % 150 - 75 + c_custkey % 7 AS DOUBLE) AS y1 FROM customer)"
 _MX = lambda v: f"floor(8 * ({v} + 180) / 360)"
 _MY = lambda v: f"floor(8 * (pi() - ln(tan((radians({v}) + pi() / 2) / 2))) / (2 * pi()))"
 
