@@ -27,7 +27,9 @@ from .common import byte_texts, materialize, small_batches, trimmed
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Points from which the upper tree is fitted, and points that a shard should hold.
 SAMPLE, SHARD = 8192, 16384
-_LEAF = 48
+#: Vantage points tried for a split on so many points, and the share of pairs up to which it is worth it.
+TRIES, PROBE, WORTH = 8, 2048, 0.9
+_LEAF = 512
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -61,32 +63,42 @@ def _distance(points: np.ndarray, v: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ v).astype(np.int16)
 
 
-def _split(d: np.ndarray) -> int | None:
-    """A radius that leaves points on both sides; None if all are equally far."""
-    mu, top = int(np.median(d)), int(d.max())
-    if mu < top:
-        return mu
-    below = d[d < top]
-    return int(below.max()) if len(below) else None
+def _split(points: np.ndarray, radius: int) -> tuple[float, np.uint64, int]:
+    """(share of the pairs that are left, vantage point, boundary) of the best split of points.
 
-
-def upper_tree(sample: np.ndarray, shards: int) -> list[tuple]:
+    The sides are d <= mu and d > mu - radius; of TRIES vantage points and all boundaries it is the
+    one with the least sum of squared sizes, estimated on at most PROBE points.
+    """
+    probe = points[:: max(1, len(points) // PROBE)]
+    best = (1.0, points[0], 0)
+    for v in probe[:: max(1, len(probe) // TRIES)][:TRIES]:
+        below = np.cumsum(np.bincount(_distance(probe, v), minlength=65)) / len(probe)
+        mu = np.arange(radius, 64)
+        inside, outside = below[mu], 1 - below[mu - radius]
+        share = np.where((inside < 1) & (outside < 1), inside**2 + outside**2, 1.0)
+        k = int(share.argmin())
+        if share[k] < best[0]:
+            best = (float(share[k]), v, int(mu[k]))
+    return best
+
+
+def upper_tree(sample: np.ndarray, shards: int, radius: int) -> list[tuple]:
     """Nodes (vantage, radius, inside, outside), root first; a negative child -1-k is shard k."""
     nodes: list[tuple] = []
     leaves = 0
 
     def grow(points: np.ndarray, want: int) -> int:
         nonlocal leaves
-        if want > 1 and len(points) >= 16:
-            tries = points[:: max(1, len(points) // 8)][:8]
-            v = max(tries, key=lambda x: float(_distance(points, x).var()))
-            d = _distance(points, v)
-            mu = _split(d)
-            if mu is not None:
+        if want > 1 and len(points) >= 32:
+            share, v, mu = _split(points, radius)
+            if share < WORTH:
+                d = _distance(points, v)
+                a, b = points[d <= mu], points[d > mu - radius]
+                left = min(want - 1, max(1, round(want * len(a) / (len(a) + len(b)))))
                 k = len(nodes)
                 nodes.append(())
-                left = grow(points[d <= mu], (want + 1) // 2)
-                nodes[k] = (int(v), mu, left, grow(points[d > mu], want // 2))
+                inside = grow(a, left)
+                nodes[k] = (int(v), mu, inside, grow(b, want - left))
                 return k
         leaves += 1
         return -leaves
@@ -151,13 +163,12 @@ def shard_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     while stack:
         own = stack.pop()
         if len(own) > _LEAF:
-            v = own[len(own) // 2]
-            d = _distance(points[own], points[v])
-            link(own[d <= radius], v)
+            share, v, mu = _split(points[own], radius)
+            d = _distance(points[own], v)
+            link(own[d <= radius], int(own[d.argmin()]))  # v is one of them
             if 2 * int(d.max()) <= radius:
                 continue  # any two of them are linked, and all are linked to v
-            mu = _split(d)
-            if mu is not None and not (d > mu - radius).all():
+            if share < WORTH:
                 stack += [own[d <= mu], own[d > mu - radius]]
                 continue
         for i in range(0, len(own), 256):
@@ -178,7 +189,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: spanning links between distinct fingerprints (column fp) at most `radius` bits apart."""
     n = points.count()
     sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    nodes = upper_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), -(-n // SHARD))
+    nodes = upper_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), -(-n // SHARD), radius)
 
     def deal(batches):
         for b in batches:
