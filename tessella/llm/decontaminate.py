@@ -4,7 +4,8 @@ Words are runs of non-blank characters, lower-cased. Items and windows are compa
 multisets of SHINGLE-word shingles (an item of fewer words is one shingle). A window with any
 similarity to an item shares a shingle with it, so the windows to fingerprint are those of an
 item's size aligned with it on a shared shingle; a window is moved inside its text where it would
-stick out. SimHash fingerprints of windows and items of equal size meet in a multi-index of
+stick out, and a text shorter than the item is one window as a whole, if long enough to reach
+SIMILARITY. SimHash fingerprints of an item and of windows for its size meet in a multi-index of
 RADIUS + 1 blocks, which by the pigeonhole principle yields every pair at most RADIUS bits apart.
 Those pairs are then verified exactly: sum of smaller over sum of larger shingle counts, kept from
 SIMILARITY on.
@@ -56,8 +57,8 @@ def items(benchmark: DataFrame) -> DataFrame:
     return df.withColumn("s", F.expr(_shingles("w", "width"))).withColumn("fp", F.expr(_fingerprint("s")))
 
 
-def windows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, start, m, width, w: the distinct windows aligned with an item on a shared shingle."""
+def windows(docs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, start, m (words of the item), width, w: the distinct windows aligned with an item on a shared shingle."""
     keys = known.select("m", "width", F.posexplode("w").alias("j", "_"), "w").where("j <= m - width")
     found = None
     for width in sorted(r[0] for r in known.select("width").distinct().collect()):
@@ -67,7 +68,9 @@ def windows(docs: DataFrame, known: DataFrame) -> DataFrame:
             index = F.broadcast(index)
         at = docs.select("doc_id", words("text").alias("d")).select("doc_id", "d", F.posexplode_outer("d").alias("i", "_")).where(F.col("i") <= F.size("d") - width)
         at = at.select("doc_id", "d", "i", F.xxhash64(*(F.get("d", F.col("i") + k) for k in range(width))).alias("key"))
-        hits = at.join(index, "key").where("m <= size(d)").withColumn("start", F.expr("greatest(0, least(i - j, size(d) - m))"))
+        # of two multisets the smaller has at least `similarity` of the larger's shingles
+        enough = F.col("m") <= F.size("d"), F.size("d") - (width - 1) >= similarity * (F.col("m") - (width - 1)) - 1e-9
+        hits = at.join(index, "key").where(enough[0] | enough[1]).withColumn("start", F.expr("greatest(0, least(i - j, size(d) - m))"))
         hits = hits.select("doc_id", "start", "m", F.lit(width).alias("width"), F.expr("slice(d, start + 1, m)").alias("w"))
         found = hits if found is None else found.unionByName(hits)
     return found.distinct() if found is not None else None
@@ -76,13 +79,13 @@ def windows(docs: DataFrame, known: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, n_windows, start, n_words, hamming, similarity of every document that holds an item."""
     known = materialize(items(benchmark), "items")
-    cut = windows(docs, known)
+    cut = windows(docs, known, similarity)
     if cut is None:
         cut = known.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("start"), "m", "width", "w").limit(0)
     # windows are few bytes and much work, so they aren't coalesced by size
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = materialize(cut.repartition(parts, "doc_id", "start"), "windows").withColumn("s", F.expr(_shingles("w", "width"))).withColumn("fp", F.expr(_fingerprint("s")))
-    left = cut.withColumn("x", F.explode(_blocks(radius))).select("doc_id", "start", "m", "s", "fp", "x.block", "x.value")
+    left = cut.withColumn("x", F.explode(_blocks(radius))).select("doc_id", "start", "m", "w", "s", "fp", "x.block", "x.value")
     right = known.withColumn("x", F.explode(_blocks(radius))).select("item_id", "m", F.col("s").alias("t"), F.col("fp").alias("fp2"), "x.block", "x.value")
     near = left.join(right, ["m", "block", "value"]).withColumn("hamming", F.expr("bit_count(fp ^ fp2)")).where(F.col("hamming") <= radius)
     # a pair meets in every block that agrees; keep it in the first of them only
@@ -91,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
     near = near.where(f"NOT exists(sequence(0, {radius}), k -> k < block AND shiftrightunsigned(fp ^ fp2, {low}) & (shiftleft(1L, {wide}) - 1) = 0)")
     both = "aggregate(array_distinct(s), 0, (n, x) -> n + least(size(filter(s, y -> y = x)), size(filter(t, y -> y = x))))"
     scored = near.withColumn("_b", F.expr(both)).withColumn("similarity", F.expr("_b / (size(s) + size(t) - _b)")).where(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("start", "m", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
+    best = F.max_by(F.struct("start", F.size("w").alias("m"), "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return scored.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), best.alias("b")).select("doc_id", "item_id", "n_windows", "b.start", F.col("b.m").alias("n_words"), "b.hamming", "b.similarity")
 
 
