@@ -178,7 +178,9 @@ def read_chromsizes(spark: SparkSession, path: str) -> DataFrame:
     """ord, chrom, size, offset in the file's order."""
     from ..functions.coords import SEGMENT_LIMIT, segments
 
-    rows = fields(spark, path).select(field(1).alias("c"), field(2).try_cast("long").alias("s")).where("s IS NOT NULL").limit(SEGMENT_LIMIT).collect()
+    rows = fields(spark, path).select(field(1).alias("c"), field(2).try_cast("long").alias("s")).where("s IS NOT NULL").limit(SEGMENT_LIMIT + 1).collect()
+    if len(rows) > SEGMENT_LIMIT:
+        raise ValueError(f"more than {SEGMENT_LIMIT} segments")
     return segments(spark, [(r.c, r.s) for r in rows])
 
 
