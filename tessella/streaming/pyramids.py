@@ -30,7 +30,7 @@ def level(df: DataFrame, time: str, value: str, width: str, delay: str, keys: tu
 
 
 def pyramid(df: DataFrame, time: str, value: str, base_seconds: int, levels: int, delay: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """All levels in one aggregation: each row goes to its bin at every level, and level z closes with its own width.
+    """All levels in one aggregation: each row goes to its bin at every level, and each bin closes when the watermark passes its own end.
 
     z = levels is the finest, of base_seconds; z = 0 has 2^levels of them.
     """
@@ -40,9 +40,11 @@ def pyramid(df: DataFrame, time: str, value: str, base_seconds: int, levels: int
     width = F.lit(base_seconds) * F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(levels) - F.col("z"))
     start = seconds - F.pmod(seconds, width)
     v = missing(F.col(value))
-    grouped = up.groupBy(*keys, "z", F.timestamp_seconds(start).alias("start"), F.window(time, f"{base_seconds << levels} seconds"))
-    out = grouped.agg(F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return out.drop("window")
+    # the end of a bin is an event time under the watermark of the rows, so the state of a bin goes with its end
+    end = F.timestamp_seconds(start + width).alias("end", metadata={"spark.watermarkDelayMs": 0})
+    sent = up.select(*keys, "z", F.timestamp_seconds(start).alias("start"), end, v.alias("_v"))
+    out = sent.groupBy(*keys, "z", "start", "end").agg(F.count("*").alias("n"), F.sum("_v").alias("sum"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    return out.select(*keys, "z", "start", "n", "sum", "min", "max")
 
 
 def sliding(df: DataFrame, time: str, value: str, width: str, slide: str, delay: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -61,40 +63,36 @@ def running_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def closed_tiles(df: DataFrame, time: str, value: str, key: str, width_seconds: int, delay: str) -> DataFrame:
-    """A stateful tiler: per key it holds open bins and emits those that its own newest position has passed.
+    """A stateful tiler: per key it holds open bins and emits those whose end the watermark has passed.
 
-    Rows before the last emitted bin are counted as late and dropped. A key that stays silent while
-    the watermark passes its newest bin is closed and forgotten.
+    Rows within the delay count, however far a key's other rows are ahead; Spark drops rows behind
+    the watermark. A timer wakes a key when its earliest open bin ends, so silent keys close too and
+    are forgotten once they hold no bin.
     """
-    out_schema = f"{key} string, start long, n long, sum double, late long"
+    out_schema = f"{key} string, start long, n long, sum double"
 
     def update(keys, frames, state):
-        bins, late, shut = ({}, 0, -1) if not state.exists else (dict(zip(state.get[0], zip(state.get[1], state.get[2]))), state.get[3], state.get[4])
-        if state.hasTimedOut:
-            rows = [(keys[0], s, int(n), float(t), late) for s, (n, t) in sorted(bins.items())]
-            state.remove()
-            yield pd.DataFrame(rows, columns=[key, "start", "n", "sum", "late"])
-            return
-        newest = shut
-        for pdf in frames:
-            at = (pdf["_s"] // width_seconds * width_seconds).astype("int64")
-            late += int((at <= shut).sum()) if shut >= 0 else 0
-            good = pdf[at > shut] if shut >= 0 else pdf
-            for s, own in good.groupby(at.loc[good.index]):
-                n, t = bins.get(int(s), (0, 0.0))
-                bins[int(s)] = (n + len(own), t + float(own["_v"].sum()))
-                newest = max(newest, int(s))
-        done = sorted(s for s in bins if s < newest)
-        rows = [(keys[0], s, int(bins[s][0]), float(bins[s][1]), late) for s in done]
-        shut = max([shut, *done])
+        bins = dict(zip(state.get[0], zip(state.get[1], state.get[2]))) if state.exists else {}
+        if not state.hasTimedOut:
+            for pdf in frames:
+                at = (pdf["_s"] // width_seconds * width_seconds).astype("int64")
+                for s, own in pdf.groupby(at):
+                    n, t = bins.get(int(s), (0, 0.0))
+                    bins[int(s)] = (n + len(own), t + float(own["_v"].sum()))
+        passed = state.getCurrentWatermarkMs()
+        done = sorted(s for s in bins if (s + width_seconds) * 1000 <= passed)
+        rows = [(keys[0], s, int(bins[s][0]), float(bins[s][1])) for s in done]
         for s in done:
             del bins[s]
-        state.update((list(bins), [int(v[0]) for v in bins.values()], [float(v[1]) for v in bins.values()], late, shut))
-        state.setTimeoutTimestamp(max((newest + 2 * width_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[key, "start", "n", "sum", "late"])
+        if bins:
+            state.update((list(bins), [int(v[0]) for v in bins.values()], [float(v[1]) for v in bins.values()]))
+            state.setTimeoutTimestamp((min(bins) + width_seconds) * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=[key, "start", "n", "sum"])
 
     timed = event_time(df, time).withWatermark(time, delay).select(time, F.col(key).cast("string").alias(key), F.unix_seconds(time).alias("_s"), F.col(value).cast("double").alias("_v"))
-    return timed.groupBy(key).applyInPandasWithState(update, out_schema, "starts array<long>, counts array<long>, sums array<double>, late long, shut long", "append", "EventTimeTimeout")
+    return timed.groupBy(key).applyInPandasWithState(update, out_schema, "starts array<long>, counts array<long>, sums array<double>", "append", "EventTimeTimeout")
 
 
 def write_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
