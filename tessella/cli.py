@@ -64,13 +64,35 @@ def vectors(spark: SparkSession, a: argparse.Namespace) -> None:
     states = [r.value.strip() for r in spark.read.text(a.row_infos).collect()] if a.row_infos else None
     if a.format == "states" and not states:
         sys.exit("--row-infos is needed for states")
-    parts = [text.read_vectors(spark, p, a.format, states=states, delimiter=a.delimiter, header=a.has_header) for p in a.input.split(",")]
+    files = a.input.split(",")
+    parts = [text.read_vectors(spark, p, a.format, states=states, delimiter=a.delimiter, header=a.has_header) for p in files]
+    rows = states or []
+    if len(files) > 1:  # one vector of all files' values, file after file
+        parts = [multivec.stacked(parts, [len(states)] * len(files) if a.format == "states" else None)]
+        rows = rows * len(files) if a.format == "states" else rows
     known = spark.createDataFrame(names, "chrom string, size long")
     data = parts[0].join(F.broadcast(known), "chrom")
-    base = multivec.binned(data, a.resolution)
+    _write_vectors(a, names, multivec.binned(data, a.resolution), rows)
+
+
+def signals(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Several interval signals as rows of a vector track: sums of values over the positions of each bin."""
+    sizes, names = _axis(spark, a.chromsizes)
+    rows = [r.value.strip() for r in spark.read.text(a.row_infos).collect()] if a.row_infos else a.input.split(",")
+    local = sizes.withColumn("offset", F.lit(0).cast("long"))
+    base = None
+    for n, path in enumerate(a.input.split(",")):
+        signal = text.read_bedgraph(spark, path, local, missing=a.nan_value, origin=0, delimiter=a.delimiter, header=a.has_header, chromosome=a.chromosome)
+        own = pyramid.interval_bins(signal, "start", "end", "value", a.resolution, ("chrom",)).select("chrom", "bin", F.lit(n).alias("row"), F.col("sum").alias("value"))
+        base = own if base is None else base.unionByName(own)
+    _write_vectors(a, names, base, rows)
+
+
+def _write_vectors(a: argparse.Namespace, names: list[tuple[str, int]], base: DataFrame, rows: list[str]) -> None:
     length = sum(s for _, s in names)
+    rows = rows or [str(k) for k in range((base.agg(F.max("row")).first()[0] or 0) + 1)]
     deepest = max_zoom(length, a.tile_size * a.resolution)
-    info = _info("multivec", names, a.tile_size, length, row_infos=states or [], resolutions=[a.resolution << (deepest - z) for z in range(deepest + 1)])
+    info = _info("multivec", names, a.tile_size, length, row_infos=rows, resolutions=[a.resolution << (deepest - z) for z in range(deepest + 1)])
     info.max_zoom = deepest
     write_tileset(multivec.halving(base, deepest, a.method), a.output, info)
 
@@ -83,7 +105,7 @@ def dense_matrix(spark: SparkSession, a: argparse.Namespace) -> None:
     write_tileset(pyramid.matrix_pyramid(cells, levels), a.output, info)
 
 
-COMMANDS = {"bedfile": bedfile, "bedpe": bedpe, "bedgraph": bedgraph, "geojson": geojson, "multivec": vectors, "bedfile_to_multivec": vectors, "bigwigs_to_multivec": vectors, "tsv_to_mrmatrix": dense_matrix}
+COMMANDS = {"bedfile": bedfile, "bedpe": bedpe, "bedgraph": bedgraph, "geojson": geojson, "multivec": vectors, "bedfile_to_multivec": vectors, "bigwigs_to_multivec": signals, "tsv_to_mrmatrix": dense_matrix}
 
 
 def parser() -> argparse.ArgumentParser:

@@ -119,10 +119,16 @@ def read_bedgraph(spark: SparkSession, path: str, sizes: DataFrame, chrom: int =
     return to_absolute(df, sizes, "chrom", start="_a", end="_b").select("chrom", "start", "end", "value")
 
 
-def read_geojson(spark: SparkSession, path: str, importance: str = "area") -> DataFrame:
-    """Features with bounds, area (shoelace formula on the outer ring), importance, geometry and properties as JSON."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<string>").alias("d"))
-    feats = doc.select(F.explode("d.features").alias("feature"))
+def read_geojson(spark: SparkSession, path: str, importance: str = "area", lines: bool = False) -> DataFrame:
+    """Features with bounds, area (shoelace formula on the outer ring), importance, geometry and properties as JSON.
+
+    lines: each line is a feature, so files can be split; else a file is one collection, held in one row.
+    """
+    if lines:
+        feats = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.col("value").alias("feature"))
+    else:
+        doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<string>").alias("d"))
+        feats = doc.select(F.explode("d.features").alias("feature"))
     kind = F.get_json_object("feature", "$.geometry.type")
     coords = F.get_json_object("feature", "$.geometry.coordinates")
     point = F.array(F.from_json(coords, "array<double>"))
@@ -194,7 +200,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Text alignments: qname, flag, rname, pos, mapq, cigar, seq, md, tags."""
     df = spark.read.text(path).where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("_f"))
-    tags = F.map_from_entries(F.transform(F.slice("_f", 12, F.greatest(F.size("_f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 20))))
+    listed = F.slice("_f", 12, F.greatest(F.size("_f") - 11, F.lit(0)))
+    names = F.transform(listed, lambda t: F.substring(t, 1, 2))
+    # of a repeated tag the first counts
+    first = F.filter(listed, lambda t, k: F.array_position(names, F.substring(t, 1, 2)) == k + 1)
+    tags = F.map_from_entries(F.transform(first, lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, F.lit(6), F.length(t)))))
     out = df.where(F.size("_f") >= 11).select(field(1).alias("qname"), field(2).try_cast("int").alias("flag"), field(3).alias("rname"), field(4).try_cast("long").alias("pos"), field(5).try_cast("int").alias("mapq"), field(6).alias("cigar"), field(10).alias("seq"), tags.alias("tags"))
     return out.withColumn("md", F.try_element_at("tags", F.lit("MD")))
 
