@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of a segment table up to which it is a broadcast side and an array literal.
 SEGMENT_LIMIT = 200_000
@@ -80,14 +79,22 @@ def absolute_to_segments(df: DataFrame, sizes: DataFrame, start: str = "start",
     rows = sizes.orderBy("ord").limit(SEGMENT_LIMIT + 1).collect()
     if len(rows) > SEGMENT_LIMIT:
         raise ValueError(f"more than {SEGMENT_LIMIT} segments")
+    if not rows:
+        return df.select(*df.columns, F.lit(0).alias("ord"), F.lit("").alias("chrom"), F.lit(0).cast("long").alias("seg_start"), F.lit(0).cast("long").alias("seg_end")).limit(0)
+    # segments and intervals meet in buckets of about a segment's mean length, and count in the first that both touch
     far = (1 << 62) - 1
-    table = F.array(*(F.struct(F.lit(r.ord).alias("ord"), F.lit(r.chrom).alias("chrom"), F.lit(r.offset).alias("a"), F.lit(far if k == len(rows) - 1 else r.offset + r["size"]).alias("b")) for k, r in enumerate(rows)))
-    hit = F.filter(table, lambda s: (s.a < F.col(end)) & (s.b > F.col(start)))
-    out = df.withColumn("_s", F.explode(hit))
+    total = rows[-1].offset + rows[-1]["size"]
+    width = max(1, total // len(rows))
+    last = max(0, (total - 1) // width)
+    bounds = [(r.ord, r.chrom, r.offset, far if k == len(rows) - 1 else r.offset + r["size"], min(r.offset // width, last), last if k == len(rows) - 1 else min(max(r.offset, r.offset + r["size"] - 1) // width, last)) for k, r in enumerate(rows)]
+    table = df.sparkSession.createDataFrame(bounds, "ord int, chrom string, _a long, _b long, _p long, _q long").select("ord", "chrom", "_a", "_b", "_p", F.explode(F.sequence("_p", "_q")).alias("_bucket"))
+    bucket = lambda v: F.least(F.greatest(F.floor(v / width).cast("long"), F.lit(0)), F.lit(last)).cast("long")
+    own = df.select("*", bucket(F.col(start)).alias("_s")).withColumn("_bucket", F.explode(F.sequence(F.col("_s"), F.greatest(F.col("_s"), bucket(F.col(end) - 1)))))
+    out = own.join(F.broadcast(table), "_bucket").where((F.col("_a") < F.col(end)) & (F.col("_b") > F.col(start)) & (F.col("_bucket") == F.greatest("_s", "_p")))
     return out.select(
-        *df.columns, "_s.ord", "_s.chrom",
-        (F.greatest(F.col(start), F.col("_s.a")) - F.col("_s.a")).alias("seg_start"),
-        (F.least(F.col(end), F.col("_s.b")) - F.col("_s.a")).alias("seg_end"),
+        *(own[c] for c in df.columns), "ord", "chrom",
+        (F.greatest(F.col(start), F.col("_a")) - F.col("_a")).alias("seg_start"),
+        (F.least(F.col(end), F.col("_b")) - F.col("_a")).alias("seg_end"),
     )
 
 
@@ -98,10 +105,6 @@ def natural_key(name: Column) -> Column:
     return F.struct(name.contains("_").cast("int").alias("contig"), kind.alias("kind"), F.coalesce(F.regexp_extract(bare, "^([0-9]{1,18})", 1).try_cast("long"), F.lit(0)).alias("number"), bare.alias("name"))
 
 
-def level_tiles(pos: Column, z: int, tile_size: int, deepest: int) -> Column:
-    return floor_div(pos, tile_width(z, tile_size, deepest))
-
-
 def bin_in_tile(pos: Column, width: int, bins: int) -> Column:
     """Bin of a position inside its tile of `width` positions."""
     return F.pmod(floor_div(pos, max(1, width // bins)), F.lit(bins))
@@ -158,5 +161,3 @@ def size_importance(*sides: tuple[str, str]) -> Column:
     spans = [F.abs(F.col(b) - F.col(a)) for a, b in sides]
     return (spans[0] if len(spans) == 1 else F.greatest(*spans)).cast("double")
 
-
-SEGMENT_SCHEMA = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("chrom", T.StringType()), T.StructField("size", T.LongType()), T.StructField("offset", T.LongType())])

@@ -78,5 +78,18 @@ def binned_tile(cells: Column, n_cells: int, dims: int = 1, bins: int = 256, mos
     return F.when(F.size(cells) < limit, sparse).otherwise(F.to_json(F.struct(dense.alias("dense"), low.alias("min_value"), high.alias("max_value"))))
 
 
-def entries_json(columns: list[str]) -> Column:
-    return F.to_json(F.struct(*columns))
+
+def sparse_runs(cells: DataFrame, keys: tuple[str, ...], value: str, positions: tuple[str, ...]) -> DataFrame:
+    """keys, value, n, then an array per position: the places of each value of a tile, in order.
+
+    Flattened by `runs` this is the encoding value, n, xs, ys of sparse tiles.
+    """
+    grouped = cells.groupBy(*keys, value).agg(F.array_sort(F.collect_list(F.struct(*positions))).alias("_p"))
+    return grouped.select(*keys, value, F.size("_p").cast("long").alias("n"), *(F.col(f"_p.{c}").alias(c) for c in positions))
+
+
+def runs(encoded: DataFrame, keys: tuple[str, ...], value: str, positions: tuple[str, ...]) -> DataFrame:
+    """keys, sparse: value, n, positions of all values of a tile in one flat array, by falling n."""
+    each = F.concat(F.array(F.col(value).cast("double"), F.col("n").cast("double")), *(F.transform(c, lambda v: v.cast("double")) for c in positions))
+    grouped = encoded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v"), each.alias("r")))).alias("_r"))
+    return grouped.select(*keys, F.flatten(F.transform("_r", lambda s: s["r"])).alias("sparse"))

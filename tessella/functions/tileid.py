@@ -93,12 +93,3 @@ def by_zoom_and_mode(tile_ids: list[str], dims: int = 2) -> dict[tuple[int, str]
         p = parse(t, dims)
         out.setdefault((p.z, p.mode or "default"), []).append(t)
     return out
-
-
-def in_bounds(z: Column, *positions: Column) -> Column:
-    """Whether positions exist at zoom level z."""
-    side = F.call_function("shiftleft", F.lit(1).cast("long"), z)
-    ok = z >= 0
-    for p in positions:
-        ok = ok & (p >= 0) & (p < side)
-    return ok

@@ -115,6 +115,41 @@ def either_axis(items: DataFrame, lo: int, hi: int) -> DataFrame:
     return x.union(y).distinct()
 
 
+def _either_tiles(items: DataFrame, requests: DataFrame, max_width: int, deeper: int, zoom: str | None) -> DataFrame:
+    """tile_id, subtile and the rectangles of which a side lies in it; subtiles are 2^deeper to a tile (tile_id, z, x)."""
+    rows, asked = _levels(requests, "x")
+    if not rows:
+        return items.select(F.lit("").alias("tile_id"), F.lit(0).cast("long").alias("subtile"), *items.columns).limit(0)
+    sides = (("fromX", "toX"), ("fromY", "toY"))
+
+    def shows(v: Column) -> Column:
+        lo, hi = v.lo_x * v.w, (v.hi_x + 1) * v.w
+        near = overlaps(F.col("fromX"), F.col("toX"), lo, hi) | overlaps(F.col("fromY"), F.col("toY"), lo, hi)
+        return near & (F.col(zoom) <= v.z + deeper) if zoom else near
+
+    def cut(a: str, b: str) -> Column:
+        first, last, w = F.shiftleft(F.col("_l.lo_x"), deeper), F.shiftleft(F.col("_l.hi_x") + 1, deeper) - 1, F.shiftright(F.col("_l.w"), deeper)
+        met = F.sequence(F.greatest(floor_div(F.col(a), w), first), F.least(floor_div(F.col(b), w), last))
+        return F.when(overlaps(F.col(a), F.col(b), first * w, (last + 1) * w), met).otherwise(F.array().cast("array<bigint>"))
+
+    at = items.withColumn("_l", F.explode(F.filter(_per_level(rows, max_width, "x"), shows)))
+    at = at.withColumn("subtile", F.explode(F.array_distinct(F.concat(*(cut(a, b) for a, b in sides)))))
+    at = at.withColumn("_z", F.col("_l.z")).withColumn("_x", F.shiftright("subtile", deeper))
+    return at.join(asked, ["_z", "_x"]).select("tile_id", "subtile", *items.columns)
+
+
+def tile_either(items: DataFrame, requests: DataFrame, max_width: int, zoom: str | None = "zoomLevel") -> DataFrame:
+    """tile_id and the rectangles with either side in each requested 1-D tile, in one scan; each counts once."""
+    return _either_tiles(items, requests, max_width, 0, zoom).drop("subtile")
+
+
+def tile_arcs(items: DataFrame, requests: DataFrame, max_width: int, most: int = 25, deeper: int = 3, zoom: str | None = "zoomLevel") -> DataFrame:
+    """tile_id, subtile, rank and the arcs of all requested tiles, in one scan: what `arcs` gives tile by tile."""
+    once = _either_tiles(items, requests, max_width, deeper, zoom).dropDuplicates(["tile_id", "subtile", "uid"])
+    rank = F.row_number().over(Window.partitionBy("tile_id", "subtile").orderBy(F.desc("importance"), "uid"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def arcs(items: DataFrame, x: int, z: int, max_width: int, most: int = 25, deeper: int = 3) -> DataFrame:
     """Arcs with an end in tile x: for each of its 2^deeper sub-tiles the `most` important, each uid once a sub-tile."""
     width = max_width >> (z + deeper)
@@ -160,4 +195,4 @@ def merged_islands(items: DataFrame, keys: tuple[str, ...], start: str, end: str
     return items.withColumn("_gap", gap).withColumn("island", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
 
 
-__all__ = ["arcs", "either_axis", "inverse_mercator", "list_items", "merged_islands", "overlaps", "tile_features", "tile_intervals", "tile_rectangles", "tiles_of", "walked_tiles"]
+__all__ = ["arcs", "either_axis", "inverse_mercator", "list_items", "merged_islands", "overlaps", "tile_arcs", "tile_either", "tile_features", "tile_intervals", "tile_rectangles", "tiles_of", "walked_tiles"]

@@ -40,7 +40,6 @@ def place_greedy(items: DataFrame, tiles: Callable[[int], Column], deepest: int,
         placed = open_.where(F.size("_tiles") <= 0).select(*key)
         open_ = open_.where(F.size("_tiles") > 0)
         used = None
-        gone = None
         while True:
             pairs = open_.select(*key, importance, F.size("_tiles").alias("_n"), F.explode("_tiles").alias("_tile"))
             if used is not None:
@@ -58,8 +57,6 @@ def place_greedy(items: DataFrame, tiles: Callable[[int], Column], deepest: int,
             used = new if used is None else used.unionByName(new).groupBy("_tile").agg(F.sum("_used").alias("_used"))
             used = written(used, "used")
             placed = placed.unionByName(now)
-            moved = step.where("NOT _fits").drop("_fits")
-            gone = moved if gone is None else gone.unionByName(moved)
             open_ = written(open_.join(step.select(*key), list(key), "left_anti"), "open")
             if open_.isEmpty():
                 break
@@ -102,13 +99,14 @@ def place_features(items: DataFrame, deepest: int, cap: int, key: tuple[str, ...
 
 def place_points(items: DataFrame, pos: str, tile_size: int, deepest: int, cap: int, key: tuple[str, ...], importance: str = "importance") -> DataFrame:
     """Items on one position each: one ranked pass a level is exact, as a tile's room is taken by rank."""
+    # the top of each tile is a limit per group, which tasks apply before they shuffle; the rest is what isn't in it
     rest, done = items, None
     for z in range(deepest + 1):
         tile = floor_div(F.col(pos), tile_size << (deepest - z))
         ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy(tile).orderBy(*_order(importance, key))))
-        level = ranked.where(F.col("_rank") <= cap).drop("_rank").withColumn("zoomLevel", F.lit(z))
+        level = written(ranked.where(F.col("_rank") <= cap).drop("_rank").withColumn("zoomLevel", F.lit(z)), "placed")
         done = level if done is None else done.unionByName(level)
-        rest = ranked.where(F.col("_rank") > cap).drop("_rank")
+        rest = rest.join(level.select(*key), list(key), "left_anti")
         if z % 5 == 4:
             rest = written(rest, "items")
     return done

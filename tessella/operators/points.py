@@ -49,6 +49,36 @@ def density_tile(points: DataFrame, extent: tuple[float, float, float], z: int,
     return density(points.where(inside(*box)), bins, None if over == "data" else box)
 
 
+def in_tiles(points: DataFrame, requests: DataFrame, extent: tuple[float, float, float]) -> DataFrame:
+    """tile_id and the points strictly inside each requested tile (tile_id, z, x, y), in one scan."""
+    x0, y0, side = extent
+    zs = sorted(r.z for r in requests.select("z").distinct().collect())
+    level = F.explode(F.array(*(F.struct(F.lit(z).alias("z"), F.lit(side / (1 << z)).alias("w")) for z in zs)) if zs else F.array().cast("array<struct<z:int,w:double>>")).alias("_l")
+    w = F.col("_l.w")
+
+    def tile(v: str, o: float) -> Column:
+        """Number of the tile by its own bounds, whatever rounding the division does."""
+        k = F.floor((F.col(v) - o) / w).cast("long")
+        return F.when(F.col(v) < o + k * w, k - 1).when(F.col(v) >= o + (k + 1) * w, k + 1).otherwise(k)
+
+    at = points.where(F.lit(side > 0)).select("*", level).select("*", F.col("_l.z").alias("_z"), tile("x", x0).alias("_x"), tile("y", y0).alias("_y"))
+    at = at.where((F.col("x") > x0 + F.col("_x") * w) & (F.col("y") > y0 + F.col("_y") * w))
+    asked = requests.select("tile_id", F.col("z").alias("_z"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return at.join(asked, ["_z", "_x", "_y"]).select("tile_id", *points.columns)
+
+
+def density_tiles(points: DataFrame, requests: DataFrame, extent: tuple[float, float, float], bins: int = 256) -> DataFrame:
+    """tile_id, bx, by, n: the histograms of all requested tiles, each over the extent of its own points."""
+    near = in_tiles(points.select("x", "y"), requests, extent)
+    box = near.groupBy("tile_id").agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+
+    def cell(v: str) -> Column:
+        lo, hi = F.col(f"_{v}0"), F.col(f"_{v}1")
+        return F.when(hi > lo, F.least(F.floor((F.col(v) - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(bins // 2).cast("int")
+
+    return near.join(box, "tile_id").groupBy("tile_id", cell("x").alias("bx"), cell("y").alias("by")).agg(F.count("*").alias("n"))
+
+
 def capped_points(points: DataFrame, extent: tuple[float, float, float], z: int, x: int, y: int, order: tuple[str, ...], most: int = 30) -> DataFrame:
     """The first `most` points of a tile in a total order."""
     return points.where(inside(*tile_bounds(extent, z, x, y))).orderBy(*order).limit(most)
@@ -62,9 +92,13 @@ def top_labels(labels: DataFrame, lo: int, hi: int, most: int) -> DataFrame:
 
 def even_labels(labels: DataFrame, lo: int, hi: int, most: int) -> DataFrame:
     """Labels at `most` evenly spaced indices from lo to hi - 1, both ends included."""
+    return labels.where(F.col("idx").isin(even_marks(lo, hi, most)))
+
+
+def even_marks(lo: int, hi: int, most: int) -> list[int]:
+    """At most `most` evenly spaced indices from lo to hi - 1."""
     n = max(1, most - 1)
-    marks = sorted({lo + k * (hi - 1 - lo) // n for k in range(most)})
-    return labels.where(F.col("idx").isin(marks))
+    return sorted({lo + k * (hi - 1 - lo) // n for k in range(most)}) if hi > lo else []
 
 
 def score_threshold(items: DataFrame, keys: tuple[str, ...], score: str, most: int) -> DataFrame:

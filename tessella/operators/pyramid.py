@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import floor_div, max_zoom
+from ..functions.coords import floor_div
 from ..functions.policies import POLICIES, missing
 
 STATE = ("n", "n_missing", "sum", "sumsq", "min", "max")
@@ -83,6 +83,8 @@ def tile(levels: DataFrame, z: int, x: int, tile_bins: int, stored: list[int], k
 def tiles(levels: DataFrame, requests: DataFrame, tile_bins: int, stored: list[int]) -> DataFrame:
     """tile_id, bin (from 0) and state of all requested tiles (tile_id, z, x), in one scan of the levels they need."""
     zs = sorted(r.z for r in requests.select("z").distinct().collect())
+    if not zs:
+        return levels.select(F.lit("").alias("tile_id"), "bin", *STATE).limit(0)
     pairs = F.array(*(F.struct(F.lit(z).alias("z"), F.lit(stored_level(z, stored)).alias("s")) for z in zs))
     near = levels.where(F.col("z").isin([stored_level(z, stored) for z in zs]))
     near = near.withColumn("_l", F.explode(F.filter(pairs, lambda p: p.s == F.col("z"))))
@@ -112,12 +114,6 @@ def interval_bins(df: DataFrame, start: str, end: str, value: str, width: int, k
     )
 
 
-def signal_pyramid(df: DataFrame, start: str, end: str, value: str, length: int, tile_size: int, step: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The pyramid of interval values over an axis of `length` positions, every step-th level."""
-    deepest = max_zoom(length, tile_size)
-    return pyramid(interval_bins(df, start, end, value, 1 if length <= tile_size else max(1, (tile_size << deepest) >> (deepest + tile_size.bit_length() - 1)), keys), deepest, step, keys)
-
-
 def matrix_pyramid(cells: DataFrame, levels: int, policy: str = "zero") -> DataFrame:
     """z, i, j, value of a sparse matrix (i, j, value): level z has blocks of 2^(levels - z) cells a side."""
     up = cells.select("i", "j", missing(F.col("value")).alias("value"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("z"))

@@ -7,7 +7,6 @@ suppliers span a matrix; the first embedding components are points; parts are la
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import alignments, coords, encode, tileid
 from .functions.policies import missing
 from .operators import annotations, intervals, matrix, multivec, placement, points, pyramid, sequences, signal
-from .scratch import LOCAL
+from .scratch import folder
 from .streaming import pyramids as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -788,26 +787,55 @@ def dense_base64_f16(spark, sf):
 def _streamed(spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over the events to its end, and read what it appended."""
     schema = table(spark, sf, "events").schema
-    own = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL}/tessella-stream-{uuid.uuid4().hex}"
+    own = folder(spark, "stream")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out = build(source)
     out.writeStream.outputMode("append").format("parquet").option("path", f"{own}/out").option("checkpointLocation", f"{own}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{own}/out")
 
 
-@query("stream_pyramid")
+def _since(c: str) -> Column:
+    """Microseconds from the start of the events."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast({c} as timestamp_ntz))")
+
+
+#: What the watermark has passed once the stream has read all events.
+_PASSED = "(SELECT (max(epoch_ms(ts)) - epoch_ms(TIMESTAMP '2024-01-01')) * 1000 - 3600000000 AS w FROM events)"
+_US = "(SELECT *, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t FROM events)"
+
+
+@query("stream_pyramid", f"WITH p AS (SELECT z, t // (3600000000 * (1 << CAST(3 - z AS INT))) * (3600000000 * (1 << CAST(3 - z AS INT))) AS start, value FROM (SELECT CAST(unnest(range(0, 4)) AS INT) AS z, * FROM {_US})) SELECT z, start, count(*) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM p, {_PASSED} WHERE start + 3600000000 * (1 << CAST(3 - z AS INT)) <= w GROUP BY z, start")
 def stream_pyramid(spark, sf):
-    return _streamed(spark, sf, lambda s: streams.pyramid(s, "ts", "value", 3600, 3, "1 hour"))
+    """Bins that the watermark has closed; those that end after it stay open."""
+    return rounded(_streamed(spark, sf, lambda s: streams.pyramid(s, "ts", "value", 3600, 3, "1 hour")).withColumn("start", _since("start")), "sum")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    f"WITH g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM {_US}), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g), "
+    f'q AS (SELECT user_id, min(t) AS start, max(t) + 1800000000 AS "end", count(*) AS n, round(sum(value), 4) AS sum FROM k GROUP BY user_id, k) SELECT q.* FROM q, {_PASSED} WHERE "end" <= w',
+)
 def stream_sessions(spark, sf):
-    return _streamed(spark, sf, lambda s: streams.sessions(s, "ts", "value", "30 minutes", "1 hour", ("user_id",)))
+    out = _streamed(spark, sf, lambda s: streams.sessions(s, "ts", "value", "30 minutes", "1 hour", ("user_id",)))
+    return rounded(out.withColumn("start", _since("start")).withColumn("end", _since("end")), "sum")
 
 
-@query("stream_sliding")
+@query(
+    "stream_sliding",
+    f'WITH o AS (SELECT event_type, value, t // 10800000000 * 10800000000 - k * 10800000000 AS start FROM {_US}, (VALUES (0), (1)) AS v(k)) SELECT event_type, start, start + 21600000000 AS "end", count(*) AS n, round(sum(value), 4) AS sum FROM o, {_PASSED} WHERE start + 21600000000 <= w GROUP BY event_type, start',
+)
 def stream_sliding(spark, sf):
-    return _streamed(spark, sf, lambda s: streams.sliding(s, "ts", "value", "6 hours", "3 hours", "1 hour", ("event_type",)))
+    out = _streamed(spark, sf, lambda s: streams.sliding(s, "ts", "value", "6 hours", "3 hours", "1 hour", ("event_type",)))
+    return rounded(out.withColumn("start", _since("start")).withColumn("end", _since("end")), "sum")
+
+
+@query(
+    "stream_tiles",
+    f"WITH o AS (SELECT event_type, value, t // 14400000000 * 14400 AS start FROM {_US}) SELECT event_type, start, count(*) AS n, round(sum(value), 4) AS sum FROM o, {_PASSED} WHERE (start + 14400) * 1000000 <= w GROUP BY event_type, start",
+)
+def stream_tiles(spark, sf):
+    out = _streamed(spark, sf, lambda s: streams.closed_tiles(s, "ts", "value", "event_type", 14400, "1 hour"))
+    return rounded(out.withColumn("start", F.col("start") - 1704067200), "sum")
 
 
 @query("count_by_key", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

@@ -227,3 +227,33 @@ def test_unsorted_rows_across_ranges(spark):
     at = [r.randrange(1000) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(at)), "k long, p long").repartition(3)
     assert {x.k for x in annotations.unsorted_rows(df, ("k",), ("p",)).collect()} == {k for k in range(1, 400) if at[k] < at[k - 1]}
+
+
+def test_feature_placement_is_the_sequential_rule(spark):
+    import math
+
+    def tile(lng, lat, z):
+        return math.floor(2**z * (lng + 180) / 360), math.floor(2**z * (math.pi - math.log(math.tan((math.radians(lat) + math.pi / 2) / 2))) / (2 * math.pi))
+
+    r = random.Random(8)
+    items = []
+    for k in range(120):
+        x, y = r.uniform(-170, 150), r.uniform(-70, 60)
+        items.append((k, x, x + r.uniform(0, 20), y, y + r.uniform(0, 15), float(r.randrange(50))))
+    df = spark.createDataFrame(items, "uid long, minLng double, maxLng double, minLat double, maxLat double, importance double")
+    placed, left = placement.place_features(df, 3, 4)
+    used, want, rest = {}, {}, sorted(items, key=lambda i: (-i[5], i[0]))
+    for z in range(4):
+        again = []
+        for i in rest:
+            (x0, y0), (x1, y1) = tile(i[1], i[4], z), tile(i[2], i[3], z)
+            tiles = [(z, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+            if all(used.get(t, 0) <= 4 for t in tiles):
+                want[i[0]] = z
+                for t in tiles:
+                    used[t] = used.get(t, 0) + 1
+            else:
+                again.append(i)
+        rest = again
+    assert {r.uid: r.zoomLevel for r in placed.collect()} == want
+    assert {r.uid for r in left.collect()} == {i[0] for i in rest}

@@ -188,3 +188,65 @@ def test_command_line(spark, tmp_path):
     assert tilesets.read_tileset(spark, f"{tmp_path}/g").where("z = 0").agg(F.sum("sum")).first()[0] == 20.0
     with pytest.raises(SystemExit):
         cli.bedfile(spark, cli.parser().parse_args(["bedfile", bed, f"{tmp_path}/x"]))
+
+
+def test_repeated_tags_and_long_values(spark, tmp_path):
+    long = "x" * 2_000_000
+    p = put(tmp_path / "a.sam", "@HD\n" + "\t".join(["r1", "0", "chr1", "5", "60", "4M", "*", "0", "0", "ACGT", "*", "NM:i:1", f"XA:Z:{long}", "NM:i:2"]) + "\n")
+    r = text.read_sam(spark, p).first()
+    assert r.tags == {"NM": "1", "XA": long}
+
+
+def test_files_are_zipped_on_the_command_line(spark, tmp_path):
+    from tessella.cli import main
+
+    sizes = put(tmp_path / "s.tsv", "chr1\t64\n")
+    files = [put(tmp_path / f"{k}.bed", "".join(f"chr1\t{i * 2}\t{i * 2 + 2}\t{v * (i + 1)}\n" for i in range(4))) for k, v in enumerate((1, 10, 100))]
+    main(["multivec", ",".join(files), f"{tmp_path}/out", "--chromsizes", sizes, "--resolution", "2", "--tile-size", "8"])
+    data, info = tilesets.read_tileset(spark, f"{tmp_path}/out"), tilesets.tileset_info(spark, f"{tmp_path}/out")
+    assert sorted((r.bin, r.row, r.value) for r in data.where("k = 0").collect()) == [(i, k, float(v * (i + 1))) for i in range(4) for k, v in enumerate((1, 10, 100))]
+    assert len(info.row_infos) == 3
+    main(["bigwigs_to_multivec", ",".join(files), f"{tmp_path}/signals", "--chromsizes", sizes, "--resolution", "4", "--tile-size", "8"])
+    got = sorted((r.bin, r.row, r.value) for r in tilesets.read_tileset(spark, f"{tmp_path}/signals").where("k = 0").collect())
+    assert got == [(b, k, float(v * 2 * (4 * b + 3))) for b in range(2) for k, v in enumerate((1, 10, 100))]
+
+
+def test_contact_tiles_leave_masked_bins_empty(spark):
+    pixels = spark.createDataFrame([(0, 0, 4.0), (0, 2, 3.0), (1, 2, 9.0), (2, 2, 1.0)], "bin1 long, bin2 long, count double")
+    bins = spark.createDataFrame([(0, 1.0), (1, None), (2, 2.0)], "bin_id long, weight double")
+    info = Info("cooler", 4, 0, 4, [0, 0], [3, 3], resolutions=[1])
+    (tile,) = serving.tiles("cooler", {1: pixels}, info, ["a.0.0.0"], bins={1: bins}, encoded=False).collect()
+    assert tile.value == [4.0, None, 6.0, None] + [None] * 4 + [6.0, None, 4.0, None] + [None] * 4
+    (raw,) = serving.tiles("cooler", {1: pixels}, info, ["a.0.0.0.none"], bins={1: bins}, encoded=False).collect()
+    assert raw.value == [4.0, 0.0, 3.0, None, 0.0, 0.0, 9.0, None, 3.0, 9.0, 1.0, None] + [None] * 4
+
+
+def test_no_ids_give_no_rows(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    rect = "fromX long, toX long, fromY long, toY long, uid string, importance double, chrOffset long, fields array<string>, zoomLevel int"
+    info = Info("x", 4, 2, 16, [0, 0], [16, 16], resolutions=[1])
+    cases = {
+        "beddb": ("startPos long, endPos long, uid string, importance double, chrOffset long, name string, fields array<string>, zoomLevel int", {}),
+        "bed2ddb": (rect, {}), "arcs": (rect, {}), "points": ("x double, y double", {}), "density": ("x double, y double", {}), "nplabels": ("idx long, label string, importance double", {}),
+        "hitile": ("z int, bin long, n long, n_missing long, sum double, sumsq double, min double, max double", {}), "mrmatrix": ("z int, i long, j long, value double", {}),
+        "npmatrix": ("i long, j long, value double", {}), "npvector": ("idx long, value double", {}), "multivec": ("k int, chrom string, bin long, row int, value double", {"sizes": segments(spark, [("a", 16)])}),
+    }
+    for kind, (schema, options) in cases.items():
+        assert serving.tiles(kind, empty(schema), info, [], **options).count() == 0, kind
+        asked = ["a.1.0"] if kind in ("beddb", "arcs", "nplabels", "hitile", "npvector", "multivec") else ["a.1.0.0"]
+        assert serving.tiles(kind, empty(schema), info, asked, **options).count() == 1, kind
+    pixels, bins = empty("bin1 long, bin2 long, count double"), empty("bin_id long, weight double")
+    assert serving.tiles("cooler", {1: pixels}, info, [], bins={1: bins}).count() == 0
+
+
+def test_run_encoding(spark):
+    from tessella.functions.encode import runs, sparse_runs
+
+    cells = spark.createDataFrame([(0, 2.0, 5, 1), (0, 2.0, 3, 9), (0, 7.0, 4, 4)], "tile int, value double, x int, y int")
+    (r,) = runs(sparse_runs(cells, ("tile",), "value", ("x", "y")), ("tile",), "value", ("x", "y")).collect()
+    assert r.sparse == [2.0, 2.0, 3.0, 5.0, 9.0, 1.0, 7.0, 1.0, 4.0, 4.0]
+
+
+def test_image_and_other_readers(spark, tmp_path):
+    p = put(tmp_path / "t.json", '[{"len": 3, "start": "a", "end": "b"}]')
+    assert [tuple(r) for r in text.read_time_interval(spark, p).collect()] == [(3, "a", "b")]
