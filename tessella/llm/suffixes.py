@@ -13,11 +13,12 @@ doc_id, or earlier in the same one. Matches never cross documents.
    is spread and pre-aggregated.
 4. Each shard takes its segments in the order of documents, in batches. A batch gets a suffix
    array: its window starts in the order of their first eight bytes, then of a 64-bit hash of the
-   whole window. It is merge-scanned against every level of the shard's index for windows that
-   occur earlier, and joins the index as a level; levels of equal size merge geometrically.
+   whole window, with their places. It is searched in every level of the shard's index for windows
+   that occur earlier, and joins the index as a level; levels of equal size merge geometrically.
+   Windows with equal keys are compared byte by byte.
 5. Batches unite the repeated windows and cut them out.
 
-Windows are taken as equal if eight bytes and a 64-bit hash of them agree. Null and empty texts,
+There is a row for each batch and shard that share a gram, at most one for each gram of a batch. Null and empty texts,
 and those shorter than WINDOW bytes, lose nothing. Rows with one doc_id count as separate
 documents in the order in which they were packed; null doc_ids come first. An empty table gives no
 rows. Further columns are ignored. Everything between the steps is written to the shared folder,
@@ -278,30 +279,60 @@ def _window_hash(x: np.ndarray) -> np.ndarray:
 
 
 class SuffixFamily:
-    """Levels of suffix arrays over windows; later windows are looked up in all of them."""
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def add(self, suffixes: np.ndarray) -> np.ndarray:
-        """Adds a batch of suffix keys in the order of their places; true for those seen before."""
-        order = np.argsort(suffixes, kind="stable")
-        array = suffixes[order]
-        again = np.r_[False, array[1:] == array[:-1]] if len(array) else np.zeros(0, bool)
-        for level in self.levels:  # merge-scan: both are sorted
+    """Levels of sorted window keys with places; later windows are looked up in all of them.
+
+    same(a, b): which of the windows at places a and b agree byte by byte.
+    """
+
+    def __init__(self, same=None):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.same = same or (lambda a, b: np.ones(len(a), bool))
+        self.odd: list[int] = []  # windows whose key another window took first
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Adds a batch of window keys in the order of their places; true for those seen before."""
+        order = np.argsort(keys, kind="stable")
+        array, place = keys[order], places[order]
+        first = np.r_[True, array[1:] != array[:-1]] if len(array) else np.zeros(0, bool)
+        before = np.where(first, -1, place[np.maximum.accumulate(np.where(first, np.arange(len(array)), 0))]) if len(array) else place
+        for level, at_place in self.levels:
             at = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            again |= level[at] == array
-        out = np.zeros(len(suffixes), bool)
+            hit = level[at] == array
+            before = np.where(hit, at_place[at], before)
+        again = before >= 0
+        check = np.flatnonzero(again)
+        wrong = check[~self.same(place[check], before[check])]
+        for k in wrong[np.argsort(place[wrong], kind="stable")].tolist():  # equal keys of different windows: one in 2^64
+            one = np.full(len(self.odd), place[k])
+            if not (len(self.odd) and self.same(one, np.array(self.odd)).any()):
+                again[k] = False
+                self.odd.append(int(place[k]))
+        out = np.zeros(len(keys), bool)
         out[order] = again
-        fresh = array[~again]
-        if len(fresh):
-            self.levels.append(fresh)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.sort(np.concatenate([a, b]), kind="stable"))
+        fresh = before < 0
+        if fresh.any():
+            self.levels.append((array[fresh], place[fresh]))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+            (b, y), (a, x) = self.levels.pop(), self.levels.pop()
+            both = np.concatenate([a, b])
+            order = np.argsort(both, kind="stable")
+            self.levels.append((both[order], np.concatenate([x, y])[order]))
         return out
 
 
+def _agree(x: np.ndarray):
+    """Compares windows of x by their places, in bounded steps."""
+    view = np.lib.stride_tricks.sliding_window_view(x, WINDOW) if len(x) >= WINDOW else None
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for i in range(0, len(a), 1 << 15):
+            out[i : i + (1 << 15)] = (view[a[i : i + (1 << 15)]] == view[b[i : i + (1 << 15)]]).all(axis=1)
+        return out
+
+    return same
+
+
 def suffix_keys(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Sort keys of the windows that start at `places`: their first eight bytes, then a hash of all."""
     key = np.empty((len(places), 2), ">u8")
@@ -324,7 +355,7 @@ def _match(group: pa.Table) -> pa.Table:
     order = np.lexsort((first, doc, batch, ids))
     windows = np.cumsum(count[order])
     step = min(_MOST_BATCH, max(_LEAST_BATCH, -(-int(windows[-1]) // 8)))
-    family, found, i = SuffixFamily(), [], 0
+    family, found, i = SuffixFamily(_agree(x)), [], 0
     while i < len(order):
         j = max(i + 1, int(np.searchsorted(windows, (windows[i - 1] if i else 0) + step, "right")))
         own = order[i:j]
@@ -333,7 +364,7 @@ def _match(group: pa.Table) -> pa.Table:
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         near = np.concatenate([x[b : b + s] for b, s in zip(begin[own].tolist(), size[own].tolist())])
         keys = suffix_keys(near, np.repeat(np.cumsum(size[own]) - size[own], n) + inside)
-        again = np.flatnonzero(family.add(keys))
+        again = np.flatnonzero(family.add(keys, begin[own][owner] + inside))
         if len(again):
             s = own[owner[again]]
             place = first[s] + inside[again]
