@@ -1,8 +1,9 @@
 """SimHash near-duplicate groups, searched exactly with sharded vantage-point trees.
 
 Fingerprints take word shingles with repeats; a bit is 1 if it is set in over half of the shingle
-hashes. Equal fingerprints are one point. A tree of vantage points, fitted on a bounded sample of
-the points, deals them to shards; a point whose distance to a vantage point is within the radius
+hashes. Equal fingerprints are one point. A tree of vantage points, fitted on a sample of PER_SHARD points
+for each shard's worth (a 256th of all; at least SAMPLE, so a billion points send 32 MB to the
+driver), deals them to shards and splits until a shard holds about SHARD points; a point whose distance to a vantage point is within the radius
 below a boundary goes to both sides, so by the triangle bound |d(x, v) - d(y, v)| <= d(x, y) both
 ends of every link share a shard. Every shard builds its own tree in the same way. Shards return
 spanning links only, so a group of m near copies costs at most m links per shard.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, materialize, small_batches, trimmed
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Points from which the upper tree is fitted, and points that a shard should hold.
-SAMPLE, SHARD = 8192, 16384
+#: Points that a shard should hold, points of the upper tree's sample for each, and its least size.
+SHARD, PER_SHARD, SAMPLE = 16384, 64, 8192
 #: Vantage points tried for a split on so many points, and the share of pairs up to which it is worth it.
 TRIES, PROBE, WORTH = 8, 2048, 0.9
 _LEAF = 512
@@ -82,29 +83,30 @@ def _split(points: np.ndarray, radius: int) -> tuple[float, np.uint64, int]:
     return best
 
 
-def upper_tree(sample: np.ndarray, shards: int, radius: int) -> list[tuple]:
-    """Nodes (vantage, radius, inside, outside), root first; a negative child -1-k is shard k."""
+def upper_tree(sample: np.ndarray, most: float, radius: int) -> tuple[list[tuple], int]:
+    """Nodes (vantage, radius, inside, outside), root first, and the number of shards; a negative child -1-k is shard k.
+
+    A side is split on while it has over `most` points of the sample and a split is worth it.
+    """
     nodes: list[tuple] = []
     leaves = 0
 
-    def grow(points: np.ndarray, want: int) -> int:
+    def grow(points: np.ndarray) -> int:
         nonlocal leaves
-        if want > 1 and len(points) >= 32:
+        if len(points) > max(most, 2):
             share, v, mu = _split(points, radius)
             if share < WORTH:
                 d = _distance(points, v)
-                a, b = points[d <= mu], points[d > mu - radius]
-                left = min(want - 1, max(1, round(want * len(a) / (len(a) + len(b)))))
                 k = len(nodes)
                 nodes.append(())
-                inside = grow(a, left)
-                nodes[k] = (int(v), mu, inside, grow(b, want - left))
+                inside = grow(points[d <= mu])
+                nodes[k] = (int(v), mu, inside, grow(points[d > mu - radius]))
                 return k
         leaves += 1
         return -leaves
 
-    grow(np.unique(sample), shards)
-    return nodes
+    grow(np.unique(sample))
+    return nodes, leaves
 
 
 def route(points: np.ndarray, nodes: list[tuple], radius: int):
@@ -188,8 +190,10 @@ def shard_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
 def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: spanning links between distinct fingerprints (column fp) at most `radius` bits apart."""
     n = points.count()
-    sample = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    nodes = upper_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), -(-n // SHARD), radius)
+    size = max(SAMPLE, PER_SHARD * -(-n // SHARD))
+    rows = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < F.lit(min(1 << 40, (size << 40) // max(n, 1)))).toArrow()
+    sample = rows.column("fp").to_numpy().view(np.uint64)
+    nodes, shards = upper_tree(sample, SHARD * len(sample) / max(n, 1), radius)
 
     def deal(batches):
         for b in batches:
@@ -204,7 +208,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     dealt = points.select("fp").mapInArrow(deal, "shard int, fp long")
     # shards are few bytes and much work: a partition each, not coalesced by size
-    return dealt.repartition(2 * max(1, -(-n // SHARD)), "shard").groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    return dealt.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
