@@ -3,19 +3,21 @@
 Base spans are the leftmost non-overlapping matches of three patterns, from the start to the end
 of the whole match in code points: keyed assignments, access keys and long hex strings. The battery
 looks at every maximal run of 16 or more token characters. The run's encoding is inferred from its
-alphabet. Under the null hypothesis that a run is ordinary text, three statistics are taken:
-
-* chi-squared uniformity, as coincidences between its characters: ordinary text repeats its
-  symbols more than a uniform draw from the alphabet does;
-* runs of character classes: ordinary text changes class rarely;
-* lag-1 serial correlation of the symbols' ordinals, which a random run doesn't have: a run with
-  |z| over SERIAL_Z (an alphabet, a counter) is no secret.
-
-The first two p-values are combined by Fisher's method. Weighted Benjamini-Hochberg over all runs
-of the table controls the false-discovery rate at FDR; a run's weight is its length over the mean
-length, as long runs have more power. Ranks come from a histogram of -ln(p / weight) in a fixed
-number of bins (conservative within a bin), never from a global sort. Discoveries that overlap no
-base span are added as kind `random`.
+alphabet, and three statistics are taken over it:
+
+* chi-squared of its symbols against a uniform draw from the encoding's alphabet;
+* the number of changes of character class (digits, upper, lower, signs): the runs test;
+* the lag-1 serial correlation of its symbols' ordinals.
+
+They are read twice, each time combined by Fisher's method. Against randomness (uniform symbols,
+independent of each other; two-sided) a run that fails at RANDOM_LEVEL, such as an alphabet or a
+counter, is no secret. Against ordinary text (chi-squared not central, as such text repeats its
+symbols; few changes of class; serial correlation of either sign) the combined p-value says how
+surely a run isn't ordinary. Weighted Benjamini-Hochberg over all runs of the table controls the
+rate of false discoveries at FDR; a run's weight is its length over the mean length, as long runs
+have more power. Ranks come from a histogram of -ln(p / weight) in a fixed number of bins
+(conservative within a bin), never from a global sort. Discoveries that overlap no base span are
+added as kind `random`.
 
 Null and empty texts have no spans. Each row is judged alone, so repeated rows repeat their
 result. An empty table gives no rows. Ties in start are ordered by kind as listed in KINDS.
@@ -36,7 +38,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ASSIGN_VALUE = 6
-FDR, SERIAL_Z = 0.001, 4.0
+FDR, RANDOM_LEVEL = 0.001, 1e-4
 #: -ln(p / weight) is ranked in BINS bins of width 1 / BIN_SCALE.
 BINS, BIN_SCALE = 8192, 16
 _BLOCK = 256
@@ -44,15 +46,18 @@ _BLOCK = 256
 _LOWER, _UPPER, _DIGITS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-"
 _SYMBOLS = _DIGITS + _UPPER + _LOWER + _SIGNS
 _CLASSES = "d" * 10 + "u" * 26 + "l" * 26 + "s" * 5
-#: Encoding: pattern, coincidence rate and rate of class changes of ordinary runs over its alphabet.
+#: Encoding: pattern, symbols of its alphabet, chance that two neighbours of a random run differ in class;
+#: coincidence rate and rate of class changes of ordinary runs (1: all of one class, so there is nothing to test).
 ENCODINGS = (
-    ("decimal", "^[0-9]+$", 0.10, 1.0),
-    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 0.12, 0.12),
-    ("base32", "^[A-Z2-7]+=*$", 0.070, 0.12),
-    ("base36", "^[0-9a-z]+$", 0.065, 0.12),
-    ("base62", "^[0-9A-Za-z]+$", 0.065, 0.15),
-    ("base64", "", 0.060, 0.25),
+    ("decimal", "^[0-9]+$", 10, 0.0, 0.14, 1.0),
+    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 16, 0.469, 0.12, 0.12),
+    ("base32", "^[A-Z2-7]+=*$", 32, 0.305, 0.070, 0.12),
+    ("base36", "^[0-9a-z]+$", 36, 0.401, 0.065, 0.12),
+    ("base62", "^[0-9A-Za-z]+$", 62, 0.622, 0.065, 0.15),
+    ("base64", "", 64, 0.643, 0.060, 0.25),
 )
+#: Deviation of the serial correlation of ordinary text, beside that of a finite run.
+ORDINARY_SERIAL = 0.3
 
 
 def _sql(text: str) -> str:
@@ -66,9 +71,10 @@ def _found(df: DataFrame, kind: str, pattern: str) -> DataFrame:
     df = df.withColumn(f"_{kind}_p", F.expr(f"CASE WHEN _t RLIKE {_sql(pattern)} THEN regexp_extract_all(_t, {piece}, 0) ELSE CAST(array() AS array<string>) END"))
     df = df.withColumn(lens, F.expr(f"transform(_{kind}_p, x -> CAST(length(x) AS bigint))"))
     df = df.withColumn(f"_{kind}_m", F.expr(f"CASE WHEN size(_{kind}_p) > 0 THEN regexp_extract_all(_t, {hit}, 1) ELSE CAST(array() AS array<string>) END"))
-    ends = f"""CASE WHEN size({lens}) = 0 THEN CAST(array() AS array<bigint>) ELSE flatten(transform(sequence(0, (size({lens}) - 1) DIV {_BLOCK}), b ->
-        slice(aggregate(slice({lens}, b * {_BLOCK} + 1, {_BLOCK}), array(aggregate(slice({lens}, 1, b * {_BLOCK}), 0L, (a, x) -> a + x)),
-                        (a, x) -> concat(a, array(element_at(a, -1) + x))), 2, {_BLOCK}))) END"""
+    # sums up to each block, then within it: no array is walked once per match
+    upto = f"aggregate(transform(sequence(0, (size({lens}) - 1) DIV {_BLOCK}), b -> aggregate(slice({lens}, b * {_BLOCK} + 1, {_BLOCK}), 0L, (a, x) -> a + x)), array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    ends = f"""CASE WHEN size({lens}) = 0 THEN CAST(array() AS array<bigint>) ELSE element_at(transform(array({upto}), u -> flatten(transform(sequence(0, (size({lens}) - 1) DIV {_BLOCK}), b ->
+        slice(aggregate(slice({lens}, b * {_BLOCK} + 1, {_BLOCK}), array(u[b]), (a, x) -> concat(a, array(element_at(a, -1) + x))), 2, {_BLOCK})))), 1) END"""
     df = df.withColumn(f"_{kind}_e", F.expr(ends))
     df = df.withColumn(kind, F.expr(f"transform(_{kind}_m, (m, i) -> struct(_{kind}_e[i] - length(m) AS start, _{kind}_e[i] AS end, m AS m))"))
     return df.drop(f"_{kind}_p", lens, f"_{kind}_m", f"_{kind}_e")
@@ -83,27 +89,23 @@ def _upper_tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, p).otherwise(1 - p), F.lit(1e-300))
 
 
-def _p_value(m: Column, n: Column) -> Column:
-    """Fisher's combination for a run m of n symbols; 1 where the run can't be a secret."""
+def _once(value: Column, function) -> Column:
+    """function(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
 
-    def pick(k: int) -> Column:
-        chosen = F.lit(ENCODINGS[-1][k])
+def _statistics(m: Column, n: Column) -> Column:
+    """chi (chi-squared against the alphabet), changes (of class), serial (correlation), k, q, kappa and rate of a run m of n symbols."""
+
+    def pick(place: int) -> Column:
+        chosen = F.lit(float(ENCODINGS[-1][place]))
         for e in reversed(ENCODINGS[:-1]):
-            chosen = F.when(m.rlike(e[1]), F.lit(e[k])).otherwise(chosen)
+            chosen = F.when(m.rlike(e[1]), F.lit(float(e[place]))).otherwise(chosen)
         return chosen
 
     symbols = F.split(m, "")
     squares = F.aggregate(F.array_distinct(symbols), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(m, c, F.lit(""))), F.lit(2)))
-    coincidence = (squares - n) / (n * (n - 1))
-    kappa = pick(2)
-    spread = F.sqrt(1.2 * kappa * kappa / n + 2 * kappa / (n * n))
-    uniform = _upper_tail((kappa - coincidence) / spread)
-    runs = F.length(F.regexp_replace(F.translate(m, _SYMBOLS, _CLASSES), r"(.)\1*", "$1"))
-    rate = pick(3)
-    changes = F.when(rate < 1, _upper_tail((runs - 1 - 0.5 - rate * (n - 1)) / F.sqrt((n - 1) * rate * (1 - rate)))).otherwise(1.0)
-    half = -(F.log(uniform) + F.log(changes))
-    fisher = F.exp(-half) * (1 + half)
-
+    changes = F.length(F.regexp_replace(F.translate(m, _SYMBOLS, _CLASSES), r"(.)\1*", "$1")) - 1
     sums = F.aggregate(
         F.transform(symbols, lambda c: F.instr(F.lit(_SYMBOLS), c).cast("double")),
         F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("t2"), F.lit(0.0).alias("tt"), F.lit(-1.0).alias("first"), F.lit(0.0).alias("last")),
@@ -112,8 +114,34 @@ def _p_value(m: Column, n: Column) -> Column:
     mean = lambda s: s.t / n
     over = lambda s: s.tt - mean(s) * (2 * s.t - s["first"] - s["last"]) + (n - 1) * mean(s) * mean(s)
     under = lambda s: s.t2 - n * mean(s) * mean(s)
-    serial = F.get(F.transform(F.array(sums), lambda s: F.when(under(s) > 0, over(s) / under(s) * F.sqrt(n)).otherwise(F.lit(99.0))), F.lit(0))
-    return F.when(F.abs(serial) > SERIAL_Z, F.lit(1.0)).otherwise(F.greatest(fisher, F.lit(1e-300)))
+    serial = _once(sums, lambda s: F.when(under(s) > 0, over(s) / under(s)).otherwise(1.0))
+    facts = F.struct(squares.alias("squares"), changes.cast("double").alias("changes"), serial.alias("serial"), *(pick(k).alias(c) for k, c in ((2, "k"), (3, "q"), (4, "kappa"), (5, "rate"))))
+    return _once(facts, lambda s: F.struct((s.k * s.squares / n - n).alias("chi"), s.changes.alias("changes"), s.serial.alias("serial"), s.k.alias("k"), s.q.alias("q"), s.kappa.alias("kappa"), s.rate.alias("rate")))
+
+
+def _fisher(*p: Column) -> Column:
+    """Fisher's combination of three p-values."""
+    half = -(F.log(p[0]) + F.log(p[1]) + F.log(p[2]))
+    return F.exp(-half) * (1 + half + half * half / 2)
+
+
+def _p_value(m: Column, n: Column) -> Column:
+    """That a run m of n symbols is ordinary text; 1 where it isn't random either."""
+
+    def random(s: Column) -> Column:
+        sides = lambda z: F.least(2 * _upper_tail(F.abs(z)), F.lit(1.0))
+        chi = (s.chi - (s.k - 1)) / F.sqrt(2 * (s.k - 1) * (n - 1) / n)
+        changes = F.when(s.q > 0, sides((s.changes - s.q * (n - 1)) / F.sqrt((n - 1) * F.greatest(s.q * (1 - s.q), F.lit(0.01))))).otherwise(1.0)
+        return _fisher(sides(chi), changes, sides(s.serial * F.sqrt(n)))
+
+    def ordinary(s: Column) -> Column:
+        spread = s.k * (n - 1) * F.sqrt(1.2 * s.kappa * s.kappa / n + 2 * s.kappa / (n * n))
+        chi = _upper_tail((s.k * (n - 1) * s.kappa + s.k - n - s.chi) / spread)
+        changes = F.when(s.rate < 1, _upper_tail((s.changes - 0.5 - s.rate * (n - 1)) / F.sqrt((n - 1) * s.rate * (1 - F.least(s.rate, F.lit(0.99)))))).otherwise(1.0)
+        serial = F.greatest(1 - 2 * _upper_tail(F.abs(s.serial) / F.sqrt(1 / n + ORDINARY_SERIAL**2)), F.lit(0.01))
+        return F.greatest(_fisher(chi, changes, serial), F.lit(1e-300))
+
+    return _once(_statistics(m, n), lambda s: F.when(random(s) < RANDOM_LEVEL, F.lit(1.0)).otherwise(ordinary(s)))
 
 
 def with_matches(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,7 +202,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of the scan replaced by the mask; overlapping spans are masked once."""
     given = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")) if len(docs.columns) > 1 else docs.select("text")
-    found = with_spans(with_matches(given), *discovery_limit(with_matches(docs.select("text"))))
+    matched = materialize(with_matches(given).drop("_counts"), "secrets")  # the patterns run once for both reads
+    found = with_spans(matched, *discovery_limit(matched))
     clean = f"""CASE WHEN size(_spans) = 0 THEN text ELSE aggregate(_spans, struct(0L AS at, '' AS done),
         (a, s) -> struct(greatest(a.at, s.end) AS at, CASE WHEN s.start >= a.at THEN concat(a.done, substring(text, CAST(a.at + 1 AS int), CAST(s.start - a.at AS int)), {_sql(mask)}) ELSE a.done END AS done),
         a -> concat(a.done, substring(text, CAST(a.at + 1 AS int)))) END"""
