@@ -1,9 +1,12 @@
 """License scan: canonical digests of entire texts, hash-joined to those of known licences.
 
-A text is normalised by lower-casing, dropping copyright lines, replacing equivalent spellings,
-deleting what is neither letter nor digit and collapsing blanks; its digest is the SHA-256 of the
+A text is normalised by lower-casing, dropping copyright statements (behind comment marks as well),
+replacing equivalent spellings, deleting what is neither letter nor digit, collapsing blanks and
+putting one name for the holder where a licence's clauses name one. Its digest is the SHA-256 of the
 result. A text is a licence if its digest is a known one. The known licences are a parameter: rows
-of (license_id, text). Their digests are broadcast only if there are at most BROADCAST_ROWS.
+of (license_id, text, digest); a row without a text has a digest. The default ones are the short
+licences of TEXTS, each also with its usual headings, and long ones by DIGESTS. Known digests are
+broadcast only if there are at most BROADCAST_ROWS.
 
 One row per input row. Null and empty texts, and those of which nothing is left, have the digest of
 the empty text and no licence. Of several licences with one digest the smallest name is given.
@@ -20,10 +23,17 @@ from .common import table, text_or_empty
 
 BROADCAST_ROWS = 10_000
 
+#: A line that states a copyright, not one of a clause on copyright notices.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<|\[|by )|\(c\)[ \t]*[0-9<\[]|©|all rights reserved)[^\n]*$"
 #: What a normalised text never says otherwise.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("authorisation", "authorization"), ("favour", "favor"), ("copyright owner", "copyright holder"), ("https://", "http://"), ("&", " and "))
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Clauses that name the holder, in a normalised text.
+HOLDERS = (
+    (r"neither the names? of [\p{L}\p{N} ]{1,160}? nor the names of (its|their|his) contributors", "neither the name of the holder nor the names of its contributors"),
+    (r"this software is provided by [\p{L}\p{N} ]{1,160}? and contributors as is", "this software is provided by the holders and contributors as is"),
+    (r"in no event shall [\p{L}\p{N} ]{1,160}? or contributors be liable", "in no event shall the holder or contributors be liable"),
+)
 
 #: Texts of public licences.
 TEXTS = {
@@ -68,6 +78,40 @@ Redistribution and use in source and binary forms, with or without modification,
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Copyright (c) <year> <owner>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MIT-0": """MIT No Attribution
+
+Copyright (c) <year> <copyright holders>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -75,24 +119,77 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 }
 
 
+#: Headings that licences go by; a text of TEXTS that begins with one is known without it too.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+}
+#: Digests of the normalised texts of long public licences.
+DIGESTS = {
+    "Apache-2.0": "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
+    "Apache-2.0 without its appendix": "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
+    "Artistic-1.0": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-1.0 without its appendix": "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-2.0 without its appendix": "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "GPL-3.0 without its appendix": "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.0 without its appendix": "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-2.1 without its appendix": "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
+    "MPL-2.0": "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",
+}
+
+
 def canonical(text: str = "text") -> Column:
     out = F.regexp_replace(F.lower(text_or_empty(text)), COPYRIGHT_LINE, " ")
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(usual))
-    return F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    for clause, usual in HOLDERS:
+        out = F.regexp_replace(out, clause, usual)
+    return out
 
 
 def digests(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, canonical().alias("_c")).select(*keep, F.sha2("_c", 256).alias("digest"), (F.col("_c") == "").alias("_none"))
 
 
+def _known() -> list[tuple[str, str | None, str | None]]:
+    """license_id, text, digest of the default licences."""
+    rows: list[tuple[str, str | None, str | None]] = []
+    for name, text in TEXTS.items():
+        own = HEADINGS.get(name, ())
+        body = text.split("\n", 1)[1] if text.split("\n", 1)[0] in own else text
+        rows += [(name, t, None) for t in dict.fromkeys([text, body, *(f"{h}\n\n{body}" for h in own)])]
+    return rows + [(name.partition(" ")[0], None, digest) for name, digest in DIGESTS.items()]
+
+
 def known_licenses(spark) -> DataFrame:
-    return spark.createDataFrame(list(TEXTS.items()), "license_id string, text string")
+    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).cast("string").alias("text"), F.lit(d).cast("string").alias("digest")) for k, t, d in _known()))
+    return spark.range(1).select(F.inline(rows))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, license_id (null if the whole text is no known licence)."""
-    table_ = digests(known, "license_id").where("NOT _none").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    if "digest" not in known.columns:
+        known = known.withColumn("digest", F.lit(None).cast("string"))
+    table_ = digests(known.withColumnRenamed("digest", "_given"), "license_id", "_given").where("_given IS NOT NULL OR NOT _none")
+    table_ = table_.groupBy(F.coalesce("_given", "digest").alias("digest")).agg(F.min("license_id").alias("license_id"))
     if known.count() <= BROADCAST_ROWS:
         table_ = F.broadcast(table_)
     return digests(docs, "doc_id").drop("_none").join(table_, "digest", "left").select("doc_id", "digest", "license_id")
@@ -103,14 +200,16 @@ def op10_license_scans(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
     out = f"regexp_replace(lower(coalesce(text, '')), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
     for other, usual in SPELLINGS:
         out = f"replace({out}, {quote(other)}, {quote(usual)})"
-    digest = f"sha256(trim(regexp_replace({out}, {quote(NOT_WORD)}, ' ', 'g')))"
-    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in TEXTS.items())
-    return f"""WITH known AS (SELECT min(license_id) AS license_id, {digest} AS digest FROM (VALUES {rows}) AS t(license_id, text) GROUP BY 2)
-SELECT d.doc_id, d.digest, k.license_id FROM (SELECT doc_id, {digest} AS digest FROM documents) d LEFT JOIN known k ON d.digest = k.digest"""
+    out = f"trim(regexp_replace({out}, {quote(NOT_WORD)}, ' ', 'g'))"
+    for clause, usual in HOLDERS:
+        out = f"regexp_replace({out}, {quote(clause)}, {quote(usual)}, 'g')"
+    rows = ", ".join(f"({quote(k)}, {quote(t)}, {quote(d)})" for k, t, d in _known())
+    return f"""WITH known AS (SELECT min(license_id) AS license_id, coalesce(given, sha256({out})) AS digest FROM (VALUES {rows}) AS t(license_id, text, given) GROUP BY 2)
+SELECT d.doc_id, d.digest, k.license_id FROM (SELECT doc_id, sha256({out}) AS digest FROM documents) d LEFT JOIN known k ON d.digest = k.digest"""
 
 
 ORACLE = _oracle()
