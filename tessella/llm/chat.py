@@ -174,7 +174,8 @@ ORACLE = _oracle()
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema))
+    added = F.inline(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(hard).alias("text")) for k, role in enumerate(("user", "assistant")))))
+    rows = rows.unionByName(spark.range(1).select(added))
     out = format_conversations(rows).withColumn("_back", read_back()).withColumn("_loss", masked_text())
     return out.select(
         "conv_id",

@@ -17,8 +17,6 @@ empty table gives no rows. Further columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,10 +28,13 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 TRAIN_DOCS, TRAIN_WINDOWS = 500, 4
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.01, 1e-5, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 17
 
 
+def has_letter(text: bytes) -> bool:
+    return any(map(str.isalpha, text.decode()))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -139,7 +140,7 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
         for b in batches:
             rows = []
             for text, lang in zip(byte_texts(b.column(0)), b.column(1).to_pylist()):
-                if _LETTER.search(text.decode()):
+                if has_letter(text):
                     w = _windows(text)
                     for i in sorted({len(w) * k // TRAIN_WINDOWS for k in range(TRAIN_WINDOWS)}):
                         rows.append((w[i].tobytes(), lang))
@@ -165,7 +166,7 @@ def train(docs: DataFrame) -> ByteNetwork | None:
 def predictions(texts: list[bytes], net: ByteNetwork | None, tables) -> tuple[list[str], np.ndarray]:
     """Label and score of each text."""
     labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    known = [k for k, t in enumerate(texts) if net is not None and _LETTER.search(t.decode())]
+    known = [k for k, t in enumerate(texts) if net is not None and has_letter(t)]
     n_windows = [-(-len(texts[k]) // WINDOW) for k in known]
     for i, j in chunks([n * WINDOW for n in n_windows], _CHUNK):
         data = np.concatenate([_windows(texts[k]) for k in known[i:j]])
