@@ -116,14 +116,39 @@ def test_suffix_family_levels_grow_geometrically():
     r = np.random.default_rng(1)
     for _ in range(12):
         keys = np.array([f"{x:016d}".encode() for x in r.integers(0, 3000, 500)], "S16")
-        again = family.add(keys)
+        again = family.add(keys, np.arange(len(keys)))
         for k, a in zip(keys.tolist(), again.tolist()):
             assert a == (k in seen)
             seen.add(k)
-    sizes = [len(x) for x in family.levels]
+    sizes = [len(x) for x, _ in family.levels]
     assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def test_equal_keys_of_different_windows_are_told_apart():
+    """Keys that always collide: only the comparison of bytes is left."""
+    r = random.Random(9)
+    windows = [bytes([r.randrange(3)]) * suffixes.WINDOW for _ in range(40)]
+    x = np.frombuffer(b"".join(windows), np.uint8)
+    family, seen = suffixes.SuffixFamily(suffixes._agree(x)), set()
+    for k in range(0, 40, 5):
+        own = range(k, k + 5)
+        again = family.add(np.array([b"k"] * 5, "S16"), np.array([suffixes.WINDOW * i for i in own]))
+        for i, a in zip(own, again.tolist()):
+            assert a == (windows[i] in seen)
+            seen.add(windows[i])
+
+
+def test_removal_of_repeated_and_null_ids_over_partitions(spark):
+    rows = [(6, "z" * 150 + "q"), (6, "z" * 150 + "q"), (7, "a" + "z" * 120), (None, "y" * 120), (8, "y" * 130)]
+    out = suffixes.remove_repeats(frame(spark, rows).repartition(3)).collect()
+    # the first window of a text's z is new and all later ones are not, so its first byte alone stays
+    first = [x for x in out if x.doc_id == 6]
+    assert sorted(x.n_bytes - len(x.kept) for x in first) == [149, 151]
+    assert [x.n_bytes - len(x.kept) for x in out if x.doc_id == 7] == [120]
+    assert [x.n_bytes - len(x.kept) for x in out if x.doc_id is None] == [119]
+    assert [x.n_bytes - len(x.kept) for x in out if x.doc_id == 8] == [130]
+
+
 # ---- 4
 
 
@@ -167,47 +192,113 @@ def test_scores(spark):
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[k], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(x.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
         assert x.score < 0
-    test = [got[k] for k in got if held[k]]
-    assert sum(x.score for x in test) > 1.03 * sum(x.base_score for x in test)  # at most 3 % worse where all words are known
+    known = [got[k] for k in got if held[k] and got[k].n_known == got[k].n_tokens]
+    assert len(known) > 5 and sum(x.score for x in known) > 1.01 * sum(x.base_score for x in known)  # words in no order: the base is right
+    parts = [{x.doc_id: x.score for x in pitman_yor.score(frame(spark, rows).repartition(n)).collect()} for n in (1, 3)]
+    for k in tokens:
+        for other in parts:
+            assert math.isclose(other[k], got[k].score, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_words_in_their_usual_order_score_better(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 200)  # so that some words are frequent and some are rare
+    r = random.Random(6)
+    nouns = [f"noun{k}" for k in range(40)]
+    line = lambda: " ".join(f"the {r.choice(nouns)} of a rare{r.randrange(4000)} ." for _ in range(6))
+    rows = [(k, line()) for k in range(400)]
+    held = [k for k, _ in rows if crc32(str(k).encode()) % 10 == 0]
+    mixed = {}
+    for k in held:
+        words = rows[k][1].split()
+        r.shuffle(words)
+        mixed[k] = " ".join(words)
+    straight = {x.doc_id: x for x in pitman_yor.score(frame(spark, rows)).collect()}
+    shuffled = {x.doc_id: x for x in pitman_yor.score(frame(spark, [(k, mixed.get(k, t)) for k, t in rows])).collect()}
+    assert sum(straight[k].score for k in held) > 0.8 * sum(shuffled[k].score for k in held)
+    assert sum(straight[k].score for k in held) > 0.8 * sum(straight[k].base_score for k in held)
+    assert all(math.isclose(straight[k].base_score, shuffled[k].base_score, rel_tol=1e-9) for k in held)
 
 
 def test_spelling_model_is_a_distribution():
     words = [b"the", b"then", b"an", b"and", b"in", b"inn"] * 5
     key, word = pitman_yor.spelling_keys(words)
     key, count = np.unique(key, return_counts=True)
-    model = pitman_yor.Spelling(key, count)
+    model = pitman_yor.Spelling(key, count * np.arange(1, len(key) + 1) ** 2)
     for context in {int(k) // 257 for k in key} | {12345}:
         p = model.probability(context * 257 + np.arange(257))
-        assert (p > 0).all() and math.isclose(p.sum(), 1, abs_tol=0.05)
+        assert (p > 0).all() and np.allclose(p.sum(axis=0), 1, atol=1e-9)
 
 
 def test_words_and_the_unknown_one_sum_to_one():
     words = [f"w{k}".encode() for k in range(300)]
-    c = np.random.default_rng(2).zipf(1.5, 300).clip(1, 500)
+    c = np.random.default_rng(2).zipf(1.5, 300).clip(1, 5000)
     key, word = pitman_yor.spelling_keys(words)
-    uniq, n = np.unique(key, return_counts=True)
-    base = np.exp(pitman_yor.spell(words, pitman_yor.Spelling(uniq, n)))
-    tables = np.ones(300)
-    for _ in range(4):  # the table count that sampling itself leads to
-        mass = pitman_yor.CONCENTRATION + 0.6 * tables.sum()
-        tables, p = pitman_yor._word_tables(words, c, base, mass, 0.6, int(c.sum()))
-    assert math.isclose(p.sum() + mass * (1 - base.sum()) / (c.sum() + pitman_yor.CONCENTRATION), 1, abs_tol=0.02)
-
-
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(3)
-    customers = np.array([1, 2, 50, 1000, 7])
-    s = pitman_yor.Seating(customers, np.full(5, 2.0), 0.5, rng)
-    for _ in range(30):
-        s.sweep(np.full(5, 2.0))
-        assert (np.bincount(s.dish, s.size) == customers).all() and (s.size > 0).all()
-    assert (s.tables() <= customers).all()
+    base = pitman_yor.spell(words, pitman_yor.Spelling(*np.unique(key, return_counts=True)))
+    t = pitman_yor.seat_words(words, c, base, 200.0, 0.6)
+    assert (t >= 1).all() and (t <= c[:, None]).all()
+    mass = pitman_yor.CONCENTRATION + 0.6 * t.sum(axis=0)
+    p = (c[:, None] - 0.6 * t + mass * base) / (c.sum() + pitman_yor.CONCENTRATION)
+    assert np.allclose(p.sum(axis=0) + mass * (1 - base.sum(axis=0)) / (c.sum() + pitman_yor.CONCENTRATION), 1, atol=1e-9)
+
+
+def test_contexts_are_distributions():
+    r = np.random.default_rng(5)
+    classes = 12
+    counts = np.r_[r.integers(50, 3000, classes - 1), 4000]
+    n = np.zeros((classes + 1, classes), np.int64)
+    for d, c in enumerate(counts):
+        n[:, d] = r.multinomial(c, r.dirichlet(np.ones(classes + 1) * 0.3))
+    full = [(x * (classes + 1) + d, n[x, d]) for x in range(classes + 1) for d in range(classes)]
+    kept = [(k, v) for k, v in full if v >= 40]
+    model = pitman_yor.Contexts(counts, np.array([k for k, _ in kept]), np.array([v for _, v in kept]), n.sum(axis=1))
+    for x in range(classes + 1):
+        p = model.probability(np.full(classes, x), np.arange(classes))
+        assert (p > 0).all() and math.isclose(p.sum(), 1, abs_tol=1e-9)
+        top = int(n[x].argmax())
+        assert n[x, top] < 400 or p.argmax() == top
+
+
+@pytest.mark.parametrize("less", [0.1, 0.5, 0.9])
+def test_seating_is_that_of_single_customers(less):
+    """Table counts against Gibbs moves of one customer at a time, which need no Stirling numbers."""
+    r = random.Random(4)
+    for c, weight in ((3, 0.5), (12, 2.0), (40, 0.05)):
+        tables, seen = [c], []
+        for sweep in range(6000):
+            for _ in range(c if sweep < 20 else 3):
+                at = r.choices(range(len(tables)), tables)[0]
+                tables[at] -= 1
+                if not tables[at]:
+                    del tables[at]
+                at = r.choices(range(len(tables) + 1), [*(x - less for x in tables), weight])[0]
+                if at == len(tables):
+                    tables.append(1)
+                else:
+                    tables[at] += 1
+            seen.append(len(tables))
+        n = 4000
+        draws = pitman_yor.Seats(less).draw(np.full(n, c), np.full(n, weight), pitman_yor.uniform(np.arange(n), 1))
+        assert draws.min() >= 1 and draws.max() <= c and abs(draws.mean() - np.mean(seen[200:])) < 0.12 * np.mean(seen[200:])
+
+
+@pytest.mark.parametrize("less", [0.1, 0.5, 0.9])
+def test_large_dishes_follow_the_exact_law(less, monkeypatch):
+    n, c = 500, 600
+    weight, u = np.geomspace(0.01, 20, n), pitman_yor.uniform(np.arange(n), 2)
+    scaled = pitman_yor.Seats(less).draw(np.full(n, c), weight, u)
+    monkeypatch.setattr(pitman_yor, "_EXACT", c)
+    exact = pitman_yor.Seats(less).draw(np.full(n, c), weight, u)
+    assert (np.abs(scaled - exact) <= 2 + 0.15 * exact).mean() > 0.97
+    huge = pitman_yor.Seats(less).draw(np.array([10**7, 10**9]), np.array([1e-4, 50.0]), np.array([0.5, 0.5]))
+    assert huge[0] == 1 and 1 <= huge[1] <= 10**9
 
 
 def test_scores_of_odd_rows(spark):
     out = pitman_yor.score(frame(spark, EDGE)).collect()
     assert len(out) == len(EDGE) and sorted(x.n_tokens for x in out) == sorted(len((t or "").split()) + 1 for _, t in EDGE)
     assert pitman_yor.score(frame(spark, []).limit(0)).count() == 0
+    long = pitman_yor.score(frame(spark, [(1, "a b c " * 60_000), (2, "a b"), (2, "a b")])).collect()
+    assert sorted(x.n_tokens for x in long) == [3, 3, 180_001]
 
 
 # ---- 7
@@ -226,6 +317,8 @@ def test_language_odd_rows(spark):
     docs = spark.createDataFrame([*rows, (80, None, "en"), (81, "12 34 !!", "en"), (82, "the dog " * 5000, None)], "doc_id long, text string, lang string")
     got = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(docs, language.train(docs), "doc_id").collect()}
     assert got[80] == got[81] == ("und", 0.0) and got[82][0] == "en"
+    assert {language.has_letter(t.encode()) for t in ("½ ² 12", "", "!?", "Ⅷ 8")} == {False} and language.has_letter("1é".encode())
+    assert language.identify(docs.limit(0), language.train(docs), "doc_id").count() == 0
     assert language.train(docs.where("lang IS NULL")) is None
     assert {x.lang_pred for x in language.identify(docs, None, "doc_id").collect()} == {"und"}
 
@@ -248,8 +341,9 @@ def leaks(docs, bench):
             if not v:
                 continue
             q = Counter(grams(v))
-            for a in range(len(w) - len(v) + 1):
-                p = Counter(grams(w[a : a + len(v)]))
+            width = min(5, len(v))
+            for a in range(max(1, len(w) - len(v) + 1)):
+                p = Counter(" ".join(w[a : a + len(v)][i : i + width]) for i in range(len(w[a : a + len(v)]) - width + 1))
                 both = sum((p & q).values())
                 if both / (sum(p.values()) + sum(q.values()) - both) >= 0.8:
                     out.add((d, k))
@@ -279,6 +373,57 @@ def test_leaks_equal_all_windows(spark):
     assert decontaminate.contaminated(frame(spark, []).limit(0), bench).count() == 0
 
 
+def edited(r, w, words):
+    """Copies with words replaced, put in, taken out or moved anywhere."""
+    w = list(w)
+    for _ in range(r.choice([0, 1, 1, 1, 2, 2, 3])):
+        at = r.randrange(len(w))
+        kind = r.choice("replace insert delete pair move cut".split())
+        if kind == "replace":
+            w[at] = r.choice(words)
+        elif kind == "insert":
+            w.insert(at, r.choice(words))
+        elif kind == "pair":
+            w[at:at] = [r.choice(words), r.choice(words)]
+        elif kind == "move":
+            w.insert(r.randrange(len(w)), w.pop(at))
+        elif kind == "cut":
+            w = w[r.randrange(4) : len(w) - r.randrange(4)] or w
+        elif len(w) > 1:
+            del w[at]
+    return w
+
+
+@pytest.mark.parametrize("piece", [512, 16])
+def test_edits_anywhere_lose_no_leak(spark, monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(900)]
+    items = [(k, [r.choice(words) for _ in range(r.choice([6, 9, 15, 30, 50, 80]))]) for k in range(40)]
+    items += [(100, "to be or not to be or not to be or not to be".split()), (101, ["la"] * 12), (7000, items[3][1])]
+    docs = []
+    for k in range(500):
+        copy = edited(r, r.choice(items)[1], words)
+        before, after = ([r.choice(words) for _ in range(r.choice([0, 0, 3, 40]))] for _ in range(2))
+        docs.append((k, " ".join(before + copy + after)))
+    docs += [(8, "one more text with this doc_id"), (None, " ".join(items[5][1])), (None, " ".join(items[5][1]))]
+    bench = [(k, " ".join(v)) for k, v in items]
+    got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = leaks(docs, bench)
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) > 150
+    assert all(x.similarity >= 0.8 for x in got)
+
+
+def test_windows_are_few(spark):
+    """Windows to fingerprint are as many as the stretches of shared shingles, not as all pairs."""
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(500)]
+    items = [(k, " ".join(r.choice(words) for _ in range(40))) for k in range(100)]
+    docs = [(k, items[k % 100][1] + " " + " ".join(r.choice(words) for _ in range(40))) for k in range(300)]
+    known = decontaminate.items(spark.createDataFrame(items, "item_id long, text string"))
+    assert decontaminate.windows(frame(spark, docs), known).count() <= 2 * 300
+
+
 # ---- 9
 
 
@@ -339,6 +484,17 @@ def test_components_of_a_long_chain(spark):
     assert all(got[k] == 0 for k in range(1, 61)) and got[101] == got[102] == 100
 
 
+def test_shards_are_bounded():
+    r = np.random.default_rng(1)
+    points, shard = np.unique(r.integers(0, 1 << 63, 60_000).astype(np.uint64)), 2000
+    sample = points[:: len(points) // (64 * 30)]
+    nodes, shards = simhash.upper_tree(sample, shard * len(sample) / len(points), 3)
+    sizes = Counter()
+    for idx, k in simhash.route(points, nodes, 3):
+        sizes[k] += len(idx)
+    assert len(sizes) == shards and max(sizes.values()) <= 3 * shard
+
+
 def test_groups_of_an_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert len(simhash.near_duplicates(frame(spark, EDGE)).collect()) == len(EDGE)
@@ -349,8 +505,30 @@ def test_groups_of_an_empty_table(spark):
 
 def test_licences(spark):
     mit = licenses.TEXTS["MIT"].replace("<year> <copyright holders>", "2020 Someone").replace("License", "LICENCE").replace(" ", "  ")
+    bare = licenses.TEXTS["MIT"].split("\n", 1)[1]
+    noted = "\n".join("# " + x for x in bare.replace("<year>", "1999-2004").split("\n"))
+    wrapped = "Copyright (c) 2001 Someone\n" + licenses.TEXTS["ISC"].split("\n\n", 2)[2].replace("the above copyright notice", "the above\ncopyright notice")
+    more = [(11, bare), (12, noted), (13, wrapped), (14, "The MIT License (MIT)\n\n" + bare), (15, licenses.TEXTS["BSD-3-Clause"].replace("the copyright holder nor", "Some Company, Inc. nor").replace("BY THE COPYRIGHT HOLDERS", "BY SOME COMPANY")), (16, bare * 3000)]
+    found = {x.doc_id: x.license_id for x in licenses.scan(frame(spark, more), licenses.known_licenses(spark)).collect()}
+    assert found == {11: "MIT", 12: "MIT", 13: "ISC", 14: "MIT", 15: "BSD-3-Clause", 16: None}
     rows = [(1, mit), (1, mit), (2, None), (3, ""), (4, "!!"), (5, mit + " more"), (6, licenses.TEXTS["ISC"].upper())]
     got = sorted((x.doc_id, x.license_id) for x in licenses.scan(frame(spark, rows, True), licenses.known_licenses(spark)).collect() if x.license_id)
     assert got == [(1, "MIT"), (1, "MIT"), (6, "ISC")]
     assert licenses.scan(frame(spark, []).limit(0), licenses.known_licenses(spark)).count() == 0
     assert licenses.scan(frame(spark, rows), licenses.known_licenses(spark).limit(0)).where("license_id IS NOT NULL").count() == 0
+
+
+def test_long_licences_by_digest(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    there = {f: n for f, n in names.items() if os.path.exists(f"{folder}/{f}")}
+    if not there:
+        pytest.skip("no licence texts here")
+    rows = []
+    for k, f in enumerate(there):
+        with open(f"{folder}/{f}", encoding="utf-8") as file:
+            rows.append((k, file.read()))
+    got = {x.doc_id: x.license_id for x in licenses.scan(frame(spark, rows), licenses.known_licenses(spark)).collect()}
+    assert got == dict(enumerate(there.values()))
