@@ -3,51 +3,25 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_SCRATCH = "/tmp/checkpoints/tessella"
-
-_written: list[str] = []
-
+from ..scratch import folder, mark, release
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-
-
 def materialize(df: DataFrame, tag: str, *folders: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder, in folders by columns, and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-def mark() -> int:
-    """A position in the list of scratch tables, for release()."""
-    return len(_written)
-
-
-def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete scratch tables written in [since, until); frames that still read them become invalid."""
-    until = len(_written) if until is None else until
-    jvm = spark.sparkContext._jvm
-    for k in range(since, min(until, len(_written))):
-        if _written[k]:
-            path = jvm.org.apache.hadoop.fs.Path(_written[k])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            _written[k] = ""
-
-
 #: Rows of an Arrow batch; texts are long, and a batch lies several times in memory.
 BATCH_ROWS = 1000
 _ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -93,3 +67,6 @@ def chunks(sizes: list[int], most: int):
         total += n
     if i < len(sizes):
         yield i, len(sizes)
+
+
+__all__ = ["byte_texts", "chunks", "mark", "materialize", "release", "small_batches", "table", "text_or_empty", "trimmed"]

@@ -1,11 +1,13 @@
 """Cropped and edited image copies by local descriptors, Hamming tables and geometric consensus.
 
 An image is a row (image_id, height, width, pixels): grey bytes, row by row. Harris corners are
-taken at several scales, CORNERS at most per scale. Each is turned to its intensity centroid and
+taken at several scales: of each the strongest, one for AREA pixels but CORNERS at least. Each is turned to its intensity centroid and
 described by 256 comparisons of smoothed pixels, so brightness, contrast and rotation don't matter.
 Images with equal pixels are one class, named by its smallest image_id, and are described once.
 Descriptors are cut into TABLES keys; descriptors of a query and of a class that share a key and
-differ in RADIUS bits at most are matches (all within TABLES - 1 bits are found). Matches of a
+differ in RADIUS bits at most are matches (all within TABLES - 1 bits are found; a copy is missed
+only if too few of its corners share a key, and tests hold the pairs against those of all
+descriptors). Matches of a
 pair vote for scale, turn and shift in overlapping cells; a pair is a copy if VOTES different
 corners of the query agree on a cell.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-SCALES, CORNERS = (1.0, 1.5), 16
+SCALES, CORNERS, AREA = (1.0, 1.5), 16, 196
 PATCH, TURNS, BITS = 7, 24, 256
 TABLES, RADIUS, VOTES = 4, 24, 5
 #: Cells of a vote: octaves of scale, turns of 45 degrees, pixels of shift.
@@ -94,7 +96,7 @@ def describe(stack: np.ndarray):
                 if dy or dx:
                     peak[:, m : h - m, m : w - m] &= core >= r[:, m + dy : h - m + dy, m + dx : w - m + dx]
         flat = np.where(peak, r, 0).reshape(n, -1)
-        top = np.argsort(-flat, axis=1, kind="stable")[:, :CORNERS]
+        top = np.argsort(-flat, axis=1, kind="stable")[:, : max(CORNERS, h * w // AREA)]
         keep = np.take_along_axis(flat, top, 1) > 0
         image = np.nonzero(keep)[0]
         y, x = np.divmod(top[keep], w)

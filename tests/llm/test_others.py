@@ -74,6 +74,60 @@ def test_cropped_and_edited_copies(spark):
     assert images.copies(empty, empty)[0].count() == 0
 
 
+EDITS = {
+    "crop": lambda a, r: a[6:58, 4:60],
+    "contrast": lambda a, r: (a * 0.6 + 50).astype(np.uint8),
+    "noise": lambda a, r: np.clip(a + r.normal(0, 4, a.shape), 0, 255).astype(np.uint8),
+    "quarter turn": lambda a, r: np.rot90(a).copy(),
+    "smaller": lambda a, r: images._resize(a[None].astype(np.float32), 1.5)[0].astype(np.uint8),
+    "crop and noise": lambda a, r: np.clip(a[5:60, 3:58] + r.normal(0, 3, a[5:60, 3:58].shape), 0, 255).astype(np.uint8),
+}
+
+
+def all_descriptors(asked, stored):
+    """Pairs of all images whose corners agree, with every descriptor held against every other."""
+
+    def corners(a):
+        return images.describe(a[None])
+
+    known = {k: corners(a) for k, a in stored.items()}
+    out = set()
+    for q, a in asked.items():
+        _, y1, x1, s1, r1, d1 = corners(a)
+        for c, (_, y2, x2, s2, r2, d2) in known.items():
+            near = np.bitwise_count((d1[:, None] ^ d2[None]).view(np.uint64)).sum(axis=2) <= images.RADIUS
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            turn, grow = (r2[j] - r1[i]) * (2 * np.pi / images.TURNS), s2[j] / s1[i]
+            ty = y2[j] - grow * (np.cos(turn) * y1[i] - np.sin(turn) * x1[i])
+            tx = x2[j] - grow * (np.sin(turn) * y1[i] + np.cos(turn) * x1[i])
+            octave, eighth = np.rint(2 * np.log2(grow)), np.mod(np.rint((r2[j] - r1[i]) * 8 / images.TURNS), 8)
+            votes: dict = {}
+            for a_ in (0, 1):
+                for b_ in (0, 1):
+                    cells = zip(octave, eighth, np.floor(ty / images.CELL + a_ / 2), np.floor(tx / images.CELL + b_ / 2), y1[i], x1[i], s1[i])
+                    for o, e, u, v, *corner in cells:
+                        votes.setdefault((a_, b_, o, e, u, v), set()).add(tuple(corner))
+            if max(map(len, votes.values())) >= images.VOTES:
+                out.add((q, c))
+    return out
+
+
+@pytest.mark.parametrize("edit", sorted(EDITS))
+def test_copies_against_all_descriptors(spark, edit):
+    r = np.random.default_rng(11)
+    stored = {k: picture(k) for k in range(30)}
+    asked = {200 + k: EDITS[edit](stored[k], r) for k in range(30)}
+    schema = "image_id long, height int, width int, pixels binary"
+    df = lambda rows: spark.createDataFrame([(k, *a.shape, np.ascontiguousarray(a).tobytes()) for k, a in rows.items()] * 2, schema)  # noqa: E731  every row twice
+    got = {(x.query_id, x.class_id) for x in images.copies(df(asked), df(stored))[0].collect()}
+    want = all_descriptors(asked, stored)
+    true = {(200 + k, k) for k in range(30)}
+    print(edit, "found", len(got & true), "by all descriptors", len(want & true), "of", len(true))
+    assert got <= want and len(got) >= 0.9 * len(want) and want <= true
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 
