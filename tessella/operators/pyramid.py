@@ -90,7 +90,7 @@ def tiles(levels: DataFrame, requests: DataFrame, tile_bins: int, stored: list[i
     near = near.withColumn("_l", F.explode(F.filter(pairs, lambda p: p.s == F.col("z"))))
     near = near.withColumn("_b", shifted(F.col("bin"), F.greatest(F.col("_l.s") - F.col("_l.z"), F.lit(0))))
     asked = requests.select("tile_id", F.col("z").alias("_z"), F.col("x").alias("_x"))
-    hit = near.withColumn("_z", F.col("_l.z")).withColumn("_x", floor_div(F.col("_b"), tile_bins)).join(F.broadcast(asked), ["_z", "_x"])
+    hit = near.withColumn("_z", F.col("_l.z")).withColumn("_x", floor_div(F.col("_b"), tile_bins)).join(asked, ["_z", "_x"])
     return hit.groupBy("tile_id", (F.col("_b") - F.col("_x") * tile_bins).alias("bin")).agg(*merged_state())
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import coords
 from ..functions.coords import hashed_importance, row_uid, size_importance, to_absolute
 
 #: Extensions by file type, and the data type that a file type serves.
@@ -171,7 +172,8 @@ def read_matrix(spark: SparkSession, path: str, delimiter: str = "\t", first: in
     labels = spark.createDataFrame(list(enumerate(names)), "idx long, label string")
     body = lines.where(F.col("value") != top).select(F.split("value", f"\\Q{delimiter}\\E").alias("f"))
     rows = body.select(F.get("f", F.lit(0)).alias("label"), F.posexplode(F.slice("f", 2, len(names))).alias("j", "v"))
-    cells = rows.join(F.broadcast(labels), "label").select(F.col("idx").alias("i"), F.col("j").cast("long").alias("j"), F.nanvl(F.col("v").try_cast("double"), F.lit(None)).alias("value"))
+    few = len(names) <= coords.SEGMENT_LIMIT
+    cells = rows.join(F.broadcast(labels) if few else labels, "label").select(F.col("idx").alias("i"), F.col("j").cast("long").alias("j"), F.nanvl(F.col("v").try_cast("double"), F.lit(None)).alias("value"))
     return cells, labels
 
 
@@ -182,12 +184,10 @@ def read_points(spark: SparkSession, path: str, x: str = "x", y: str = "y") -> D
 
 def read_chromsizes(spark: SparkSession, path: str) -> DataFrame:
     """ord, chrom, size, offset in the file's order."""
-    from ..functions.coords import SEGMENT_LIMIT, segments
-
-    rows = fields(spark, path).select(field(1).alias("c"), field(2).try_cast("long").alias("s")).where("s IS NOT NULL").limit(SEGMENT_LIMIT + 1).collect()
-    if len(rows) > SEGMENT_LIMIT:
-        raise ValueError(f"more than {SEGMENT_LIMIT} segments")
-    return segments(spark, [(r.c, r.s) for r in rows])
+    rows = fields(spark, path).select(field(1).alias("c"), field(2).try_cast("long").alias("s")).where("s IS NOT NULL").limit(coords.SEGMENT_LIMIT + 1).collect()
+    if len(rows) > coords.SEGMENT_LIMIT:
+        raise ValueError(f"more than {coords.SEGMENT_LIMIT} segments")
+    return coords.segments(spark, [(r.c, r.s) for r in rows])
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
