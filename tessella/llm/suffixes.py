@@ -148,6 +148,8 @@ def _batch(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 def _by_shard(shard: np.ndarray):
     """(shard, places) for each shard that occurs."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     cut = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
     for a, b in zip(cut, np.r_[cut[1:], len(order)]):
