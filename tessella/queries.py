@@ -341,13 +341,33 @@ def place_points_levels(spark, sf):
     return placement.place_points(items, "p_partkey", 256, 3, 40, ("p_partkey",)).select("p_partkey", "zoomLevel")
 
 
-@query("place_intervals_greedy")
+def _greedy(source: str, tiles: Callable[[int], str], deepest: int, cap: int) -> str:
+    """SQL of the sequential rule, as a fold over the items of each level by falling importance.
+
+    tiles(z): the columns x0, x1, y0, y1 of an item's tiles, at least 0; none if x1 < x0. A tile holds `cap` items.
+    """
+    steps = [f"r0 AS (SELECT * FROM {source})"]
+    for z in range(deepest + 1):
+        steps.append(f"t{z} AS (SELECT uid, importance, CAST(x0 AS INT) AS x0, CAST(x1 AS INT) AS x1, CAST(y0 AS INT) AS y0, CAST(y1 AS INT) AS y1 FROM (SELECT uid, importance, {tiles(z)} FROM r{z}))")
+        steps.append(f"w{z} AS (SELECT coalesce(greatest(max(x0), max(x1)), 0) + 1 AS w, (coalesce(greatest(max(x0), max(x1)), 0) + 1) * (coalesce(max(y1), 0) + 1) AS n FROM t{z})")
+        inside = "((i - 1) % x.w BETWEEN x.x0 AND x.x1 AND (i - 1) // x.w BETWEEN x.y0 AND x.y1)"
+        fits = f"len(list_filter(list_transform(s.used, lambda v, i: CASE WHEN {inside} THEN v ELSE 0 END), lambda v: v >= {cap})) = 0"
+        step = f"CASE WHEN {fits} THEN {{'used': list_transform(s.used, lambda v, i: CASE WHEN {inside} THEN v + 1 ELSE v END), 'placed': list_append(s.placed, x.uid)}} ELSE s END"
+        items = "list({'uid': uid, 'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1, 'w': w} ORDER BY importance DESC, uid)"
+        start = "{'used': list_resize([0], CAST(n AS INT), 0), 'placed': []::BIGINT[]}"
+        steps.append(f"f{z} AS (SELECT list_reduce(l, lambda s, x: {step}, {start}) AS s FROM (SELECT {items} AS l, any_value(n) AS n FROM t{z}, w{z}) WHERE l IS NOT NULL)")
+        steps.append(f"p{z} AS (SELECT unnest(s.placed) AS uid FROM f{z})")
+        steps.append(f"r{z + 1} AS (SELECT * FROM r{z} WHERE uid NOT IN (SELECT uid FROM p{z}))")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f'SELECT uid, {z} AS "zoomLevel" FROM p{z}' for z in range(deepest + 1))
+
+
+@query("place_intervals_greedy", _greedy(_OI, lambda z: f"a // {256 << (4 - z)} AS x0, a // {256 << (4 - z)} + CAST(ceil((b - a) / {float(256 << (4 - z))}) AS BIGINT) - 1 AS x1, 0 AS y0, 0 AS y1", 4, 60))
 def place_intervals_greedy(spark, sf):
     placed, _ = placement.place_intervals(order_intervals(spark, sf).drop("zoomLevel"), 256, 4, 60)
     return placed.select("uid", "zoomLevel")
 
 
-@query("place_rectangles_greedy")
+@query("place_rectangles_greedy", _greedy(_OR, lambda z: f"a // {256 << (3 - z)} AS x0, b // {256 << (3 - z)} AS x1, c // {256 << (3 - z)} AS y0, d // {256 << (3 - z)} AS y1", 3, 61))
 def place_rectangles_greedy(spark, sf):
     placed, _ = placement.place_rectangles(order_rectangles(spark, sf).drop("zoomLevel"), 256, 3, 60)
     return placed.select("uid", "zoomLevel")
@@ -707,7 +727,12 @@ def geo_bbox_area(spark, sf):
     return b.select("uid", F.array_min(xs).alias("minLng"), F.array_max(xs).alias("maxLng"), F.round(ring_area(F.col("ring")), 6).alias("area"))
 
 
-@query("place_features_greedy")
+def _mercator_sql(z: int) -> str:
+    x, y = (lambda v: f"floor({1 << z} * ({v} + 180) / 360)"), (lambda v: f"floor({1 << z} * (pi() - ln(tan((radians({v}) + pi() / 2) / 2))) / (2 * pi()))")
+    return f"{x('x0')} AS x0, {x('x1')} AS x1, {y('y1')} AS y0, {y('y0')} AS y1"
+
+
+@query("place_features_greedy", _greedy(f"(SELECT *, uid % 101 AS importance FROM {_BOX})", _mercator_sql, 3, 21))
 def place_features_greedy(spark, sf):
     placed, _ = placement.place_features(boxes(spark, sf).drop("zoomLevel").withColumn("importance", F.col("uid") % 101), 3, 20)
     return placed.select("uid", "zoomLevel")
