@@ -140,10 +140,18 @@ def tile_box(x: int, y: int, z: int) -> tuple[float, float, float, float]:
 BIN_LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
 
 
-def region_bins(start: Column, end: Column) -> Column:
-    """All index bins that [start, end) may overlap."""
+def region_bins(start: Column, end: Column, within: bool = False) -> Column:
+    """All index bins that [start, end) may overlap; within: without numbers past a level's last, which are the next level's."""
     last = end - 1
-    return F.flatten(F.array(*(F.sequence(F.lit(first) + F.shiftright(start, bits), F.lit(first) + F.shiftright(last, bits)) for first, bits in BIN_LEVELS)))
+    beyond = [first for first, _ in BIN_LEVELS[1:]] + [None]
+
+    def level(first: int, bits: int, limit: int | None) -> Column:
+        a, b = F.lit(first) + F.shiftright(start, bits), F.lit(first) + F.shiftright(last, bits)
+        if not within or limit is None:
+            return F.sequence(a, b)
+        return F.when(a < limit, F.sequence(a, F.least(b, F.lit(limit - 1)))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.flatten(F.array(*(level(*x, limit) for x, limit in zip(BIN_LEVELS, beyond))))
 
 
 def row_uid(*columns: str) -> Column:

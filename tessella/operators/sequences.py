@@ -50,8 +50,12 @@ def alignments(reads: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 
 
 def query_size(regions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """region, n_bytes: what an index says a region's bins hold; chunks has chrom, bin, n_bytes."""
-    asked = regions.withColumn("bin", F.explode(region_bins(F.col("start"), F.col("end"))))
+    """region, n_bytes: what an index says a region's bins hold; chunks has chrom, bin, n_bytes.
+
+    Positions from 2^29 on have bins of the finest level only: the numbers that coarser levels would
+    give them are those of bins elsewhere.
+    """
+    asked = regions.withColumn("bin", F.explode(region_bins(F.col("start"), F.col("end"), within=True)))
     return asked.join(chunks, ["chrom", "bin"], "left").groupBy("region").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
 
 

@@ -257,3 +257,11 @@ def test_feature_placement_is_the_sequential_rule(spark):
         rest = again
     assert {r.uid: r.zoomLevel for r in placed.collect()} == want
     assert {r.uid for r in left.collect()} == {i[0] for i in rest}
+
+
+def test_query_size_past_the_coarse_bins(spark):
+    """From 2^29 on, bin numbers of coarse levels would be those of finer levels."""
+    regions = spark.createDataFrame([(1, "a", 0, 50_000), (2, "a", (1 << 29) - 20, (1 << 29) + 50_000), (3, "a", 541_000_000, 541_050_000)], "region long, chrom string, start long, end long")
+    chunks = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 585, 4), ("a", 4680, 8), ("a", 4681, 16), ("a", 4718, 32), ("a", 4719, 64), ("a", 37448, 128), ("a", 37449, 256)], "chrom string, bin long, n_bytes long")
+    got = {r.region: r.n_bytes for r in sequences.query_size(regions, chunks).collect()}
+    assert got == {1: 1 + 2 + 4 + 16, 2: 1 + 8 + 128 + 256, 3: 0}
