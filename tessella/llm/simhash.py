@@ -1,9 +1,12 @@
 """SimHash near-duplicate groups, searched exactly with sharded vantage-point trees.
 
 Fingerprints take word shingles with repeats; a bit is 1 if it is set in over half of the shingle
-hashes. Equal fingerprints are one point. A tree of vantage points, fitted on a sample of PER_SHARD points
-for each shard's worth (a 256th of all; at least SAMPLE, so a billion points send 32 MB to the
-driver), deals them to shards and splits until a shard holds about SHARD points; a point whose distance to a vantage point is within the radius
+hashes. Equal fingerprints are one point. The 64 bits are cut into one block more than the radius, so
+both ends of a link agree in a block: each point goes to one shard a block, named by the block's first
+bits, as many as leave about CELL points a shard. Every point is thus dealt out four times at radius 3
+however many there are. A shard of over SHARD points, as fingerprints much alike make it, is dealt on
+by a tree of vantage points, fitted on a sample of PER_SHARD points for each shard's worth (at least
+SAMPLE): a point whose distance to a vantage point is within the radius
 below a boundary goes to both sides, so by the triangle bound |d(x, v) - d(y, v)| <= d(x, y) both
 ends of every link share a shard. Every shard builds its own tree in the same way. Shards return
 spanning links only, so a group of m near copies costs at most m links per shard.
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import byte_texts, materialize, small_batches, trimmed
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Points that a shard should hold, points of the upper tree's sample for each, and its least size.
+#: Points that a block's value should leave in a shard, and bits of a value at most.
+CELL, MOST_BITS = 4096, 24
+#: Points that a shard may hold, points of the upper tree's sample for each, and its least size.
 SHARD, PER_SHARD, SAMPLE = 16384, 64, 8192
 #: Vantage points tried for a split on so many points, and the share of pairs up to which it is worth it.
 TRIES, PROBE, WORTH = 8, 2048, 0.9
@@ -187,28 +192,80 @@ def shard_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return rest, label[rest]
 
 
+def blocks_of(n: int, radius: int) -> tuple[int, int]:
+    """(blocks, bits of each that name a shard) for n points; (1, 0) if one shard is as good.
+
+    Of radius + 1 blocks two points within the radius share one, so they share its first bits.
+    """
+    blocks = radius + 1
+    width = min(64 // blocks, MOST_BITS)
+    worth = next((b for b in range(width + 1) if blocks < WORTH * (1 << b)), None)
+    if n <= CELL or worth is None:
+        return 1, 0
+    return blocks, min(width, max(worth, (-(-n // CELL) - 1).bit_length()))
+
+
+def cells(points: np.ndarray, blocks: int, bits: int):
+    """(points' cells) of each block: block << bits | the block's first bits."""
+    for k in range(blocks):
+        yield (np.uint64(k << bits) | points >> np.uint64(64 * k // blocks) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: spanning links between distinct fingerprints (column fp) at most `radius` bits apart."""
-    n = points.count()
-    size = max(SAMPLE, PER_SHARD * -(-n // SHARD))
-    rows = points.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < F.lit(min(1 << 40, (size << 40) // max(n, 1)))).toArrow()
-    sample = rows.column("fp").to_numpy().view(np.uint64)
-    nodes, shards = upper_tree(sample, SHARD * len(sample) / max(n, 1), radius)
+    points = points.select("fp")
+    blocks, bits = blocks_of(points.count(), radius)
+    shards = blocks << bits
+
+    def sizes(batches):
+        for b in batches:
+            for own in cells(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), blocks, bits):
+                cell, m = np.unique(own, return_counts=True)
+                yield pa.record_batch([pa.array(cell), pa.array(m)], names=["cell", "m"])
+
+    crowded = {r.cell: r.m for r in points.mapInArrow(sizes, "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).where(F.col("m") > SHARD).collect()}
+    trees: dict[int, tuple[list[tuple], int]] = {}
+    if crowded:
+        share = {c: min(1.0, max(SAMPLE, PER_SHARD * -(-m // SHARD)) / m) for c, m in crowded.items()}
+
+        def some(batches):
+            for b in batches:
+                fps, u = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                for own in cells(fps.view(np.uint64), blocks, bits):
+                    at = np.flatnonzero(u < np.array([share.get(c, 0.0) for c in own.tolist()]))
+                    yield pa.record_batch([pa.array(own[at]), pa.array(fps[at])], names=["cell", "fp"])
+
+        drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        got = points.select("fp", drawn.alias("u")).mapInArrow(some, "cell long, fp long").toArrow()
+        cell, fps = got.column("cell").to_numpy(), got.column("fp").to_numpy().view(np.uint64)
+        for c, m in sorted(crowded.items()):
+            sample = fps[cell == c]
+            nodes, leaves = upper_tree(sample, SHARD * len(sample) / m, radius)
+            trees[c] = nodes, shards
+            shards += leaves
 
     def deal(batches):
+        full = np.array(sorted(trees), np.int64)
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
-            for idx, shard in route(fps.view(np.uint64), nodes, radius):
-                yield pa.record_batch([pa.array(np.full(len(idx), shard, np.int32)), pa.array(fps[idx])], names=["shard", "fp"])
+            for own in cells(fps.view(np.uint64), blocks, bits):
+                much = np.isin(own, full)
+                yield pa.record_batch([pa.array(own[~much]), pa.array(fps[~much])], names=["shard", "fp"])
+                for c in np.unique(own[much]).tolist():
+                    nodes, first = trees[c]
+                    inside = fps[own == c]
+                    for idx, shard in route(inside.view(np.uint64), nodes, radius):
+                        yield pa.record_batch([pa.array(np.full(len(idx), first + shard)), pa.array(inside[idx])], names=["shard", "fp"])
 
     def search(group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy()
         a, b = shard_links(fps.view(np.uint64), radius)
         return pa.table({"a": fps[a], "b": fps[b]})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, fp long")
-    # shards are few bytes and much work: a partition each, not coalesced by size
-    return dealt.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    dealt = points.mapInArrow(deal, "shard long, fp long")
+    # shards are few bytes and much work: partitions by their number, not coalesced by size
+    parts = -(-(blocks << bits) // 4) + 2 * (shards - (blocks << bits))
+    return dealt.repartition(parts, "shard").groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

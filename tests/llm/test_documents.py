@@ -495,6 +495,46 @@ def test_shards_are_bounded():
     assert len(sizes) == shards and max(sizes.values()) <= 3 * shard
 
 
+def test_copies_of_a_point_do_not_grow_with_the_points():
+    points = np.unique(np.random.default_rng(2).integers(0, 1 << 64, 50_000, np.uint64))
+    for n in (10**4, 5 * 10**4, 10**7, 10**9):
+        blocks, bits = simhash.blocks_of(n, 3)
+        assert len(list(simhash.cells(points, blocks, bits))) == 4 and (4 << bits) >= min(4 * n // simhash.CELL, 4 << 16)
+    sizes = Counter(c for own in simhash.cells(points, *simhash.blocks_of(len(points), 3)) for c in own.tolist())
+    assert sum(sizes.values()) == 4 * len(points) and max(sizes.values()) < 2 * simhash.CELL
+
+
+@pytest.mark.parametrize("cell, shard", [(16, 16384), (64, 40)])
+@pytest.mark.parametrize("radius", [0, 3, 9])
+def test_links_of_cells_equal_all_pairs(spark, monkeypatch, cell, shard, radius):
+    """Points at random and in clouds; crowded cells are dealt on by trees."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    r = random.Random(9)
+    points = [r.getrandbits(64) for _ in range(400)]
+    for _ in range(600):
+        p = r.choice(points[:5] + points[-200:])
+        for _ in range(r.randint(1, 4)):
+            p ^= 1 << r.randrange(64)
+        points.append(p)
+    points = sorted(set(points))
+    label = list(range(len(points)))
+    for i, p in enumerate(points):
+        for j in range(i):
+            if (p ^ points[j]).bit_count() <= radius and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    links = simhash.links(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long"), radius).collect()
+    at, got = {p: i for i, p in enumerate(points)}, list(range(len(points)))
+    for x in links:
+        i, j = at[x.a % (1 << 64)], at[x.b % (1 << 64)]
+        assert (points[i] ^ points[j]).bit_count() <= radius or label[i] == label[j]
+        old, new = got[i], got[j]
+        got = [new if x == old else x for x in got]
+    pairs = {(a, b) for a, b in zip(label, got)}
+    assert len(pairs) == len(set(label)) == len(set(got))
+
+
 def test_groups_of_an_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert len(simhash.near_duplicates(frame(spark, EDGE)).collect()) == len(EDGE)
