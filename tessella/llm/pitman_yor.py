@@ -2,18 +2,15 @@
 
 Tokens are words in lower case (A-Z) and one end per text. Three families of restaurants are joined:
 
-* Contexts: the restaurant of each frequent word, of all other words together and of a text's begin
-  seats the words that follow it. A frequent word has at least 1 / FREQUENT of all training tokens;
-  the others are one dish, OTHER. A context's own dishes are the pairs with at least 1 / PAIRS of
-  all tokens; what else follows it is one dish, REST. New tables draw from the shared parent, the
-  restaurant of frequent words and OTHER; REST is spelled out by the parent among what isn't a dish.
-* Words: the restaurant of all words that aren't frequent, entered after OTHER. New tables draw a
+* Contexts: the restaurant of each training word, and of a text's begin, seats the words that follow
+  it. Every training pair is a dish of its own, however rare. New tables draw from the word restaurant.
+* Words: the restaurant of all training words; its customers are the contexts' tables. New tables draw a
   spelling.
 * Spellings: restaurants per context of up to three bytes, each of whose new tables draws from the
   restaurant of the shorter context, down to a uniform draw. Older bytes count by class (64, 32 and
   32 classes), so there are at most 65536 restaurants of 257 dishes whatever the corpus.
 
-Customers of a parent are its children's tables; pairs that are no dish are its customers directly.
+Customers of a parent are its children's tables; of a word, the mean of its samples' tables in all contexts.
 
 Seating is sampled by Gibbs in blocks: in a sweep all customers of a dish leave and are seated anew.
 Given the mass M of new tables in their restaurant, which is held within a sweep, c customers whose
@@ -22,15 +19,17 @@ dish the parent draws with probability g take t tables with probability in propo
 they are tabulated; beyond that S follows its scaling law in t / c^discount. Random numbers are
 hashes of dish and sweep, so neither partitions nor repeated tasks change a draw. Predictive
 probabilities are averaged over SAMPLES sweeps; each of them sums to one with the tables it has.
-The word restaurant has one draw of all words per sample. Words that no training text holds are
+The word restaurant has one draw of all words per sample; while contexts are seated, their parent is
+held at the words' shares of the training tokens. Words that no training text holds are
 one type, as they are for the base score: its probability is that of a new table times the mass
-that the spelling model leaves to words not seen. Discounts come from counts of counts,
-the concentration of contexts from leaving out each pair.
+that the spelling model leaves to words not seen. Discounts come from counts of counts, those of contexts
+and the concentration, from leaving out each pair, by bucket.
 
-Counting, seating of words and scoring run in Spark tasks. The driver gets at most FREQUENT words,
-PAIRS pairs and the spelling counts (65536 * 257 at most): bounds that shares of the corpus imply.
-They are sent to the tasks as at most PAIRS and 65536 * 257 entries. Documents stay in the block
-that read them: their distinct words are asked for by block, and answers return to it.
+Counting, seating and scoring run in Spark tasks. The driver gets the spelling counts (65536 * 257 at
+most) and how many words there are of each count (at most the root of twice the training tokens), and
+sends them to the tasks. Documents stay in the block that read them: their distinct words are asked for
+by block, and answers return to it. Its distinct pairs go, packed, to buckets of contexts, a row for each
+block and bucket; a bucket has all pairs of its contexts, seats them and answers each block.
 
 A null text is empty; an empty text has its end only. Repeated rows get a row each and count each
 in training; a null doc_id is not held out. An empty table gives no rows. Without training tokens
@@ -50,13 +49,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialize, small_batches, table, trimmed
+from .common import byte_texts, mark, materialize, release, small_batches, table, trimmed
 
 #: Text bytes of a block of documents.
 BLOCK_BYTES = 1 << 24
-#: Shares of the training tokens from which a word has a restaurant, and a pair is a dish of its own.
-FREQUENT, PAIRS = 1 << 15, 1 << 20
+#: Training tokens that a bucket of contexts has on average.
+BUCKET_TOKENS = 1 << 22
+#: A share of the tokens that words of a Contexts table have; scores don't depend on it.
+FREQUENT = 1 << 15
 CONCENTRATION, BURN_IN, SAMPLES = 1.0, 6, 4
+#: Sweeps before the samples of contexts, whose parent is held.
+CONTEXT_BURN_IN = 2
 #: Concentrations of contexts of which the one that best predicts each training pair from all others is taken.
 CONTEXT_CONCENTRATIONS = (1.0, 16.0, 256.0, 4096.0)
 _CLASSES = (64, 32, 32)
@@ -253,7 +256,7 @@ def spell(words: list[bytes], model: Spelling) -> np.ndarray:
 
 
 class Contexts:
-    """Predictive probabilities of classes (frequent words by number, then OTHER) after a class or START."""
+    """Contexts and parent sampled jointly, for a table of classes that fits a process: score() seats by bucket instead."""
 
     def __init__(self, counts: np.ndarray, pairs: np.ndarray, n: np.ndarray, follow: np.ndarray):
         """counts: tokens by class; pairs: context * size + class of the dishes, sorted; n: their tokens;
@@ -381,49 +384,131 @@ def _write_blocks(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(trimmed(run), _BLOCKS)
 
 
-def _context_model(docs: DataFrame, vocab: DataFrame, total: int) -> tuple[dict[bytes, int], Contexts]:
-    """Numbers of the frequent words, and the restaurants of contexts."""
-    spark = docs.sparkSession
-    rows = vocab.where(F.col("c") * FREQUENT >= max(total, 1)).select("word", "c").collect()  # at most FREQUENT
-    rows.sort(key=lambda r: (-r.c, bytes(r.word)))
-    number = {bytes(r.word): k for k, r in enumerate(rows)}
-    other, size = len(rows), len(rows) + 2
-    shared = spark.sparkContext.broadcast(number)
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of whole numbers, all first bytes before all second ones, which packs better."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
 
-    def run(batches):
-        """Context * size + class of all pairs of the training texts; after a text's begin, START."""
-        keys, held = [], 0
-        get = shared.value.get
 
-        def flush():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            return pa.record_batch([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+def _unplanes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(np.int64)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1))):
-                if is_held_out(doc):
-                    continue
-                words = text.lower().split()
-                words.append(b"")
-                c = np.fromiter((get(w, other) for w in words), np.int64, len(words))
-                keys.append(np.r_[other + 1, c[:-1]] * size + c)
-                held += len(c)
-                if held > 1 << 23:
-                    yield flush()
-                    keys, held = [], 0
-        if keys:
-            yield flush()
-
-    pairs = materialize(_texts(docs).mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    after = pairs.groupBy((F.expr(f"key div {size}")).alias("k")).agg(F.sum("n").alias("n")).collect()  # a row a context
-    follow = np.zeros(size, np.int64)
-    for r in after:
-        follow[r.k] = r.n
-    kept = pairs.where(F.col("n") * PAIRS >= max(total, 1)).toArrow()  # at most PAIRS
-    key, n = kept.column("key").to_numpy(), kept.column("n").to_numpy()
-    order = np.argsort(key)
-    counts = np.array([*(r.c for r in rows), total - sum(r.c for r in rows)], np.int64)
-    return number, Contexts(counts, key[order], n[order], follow)
+
+def _numbered(vocab: DataFrame) -> DataFrame:
+    """word, c, id: numbers from 0 on by falling count."""
+    at = F.monotonically_increasing_id()
+    rows = materialize(vocab.orderBy(F.desc("c"), "word").select("word", "c", at.alias("at")), "numbered")
+    part, offset, cases = F.shiftright("at", 33), 0, {}
+    for r in rows.groupBy(part.alias("k")).agg(F.count("*").alias("n")).orderBy("k").collect():  # a row a partition
+        cases[r.k], offset = offset - (r.k << 33), offset + r.n
+    shift = F.create_map(*(F.lit(x) for kv in cases.items() for x in kv))[part] if cases else F.lit(0)
+    return rows.select("word", "c", (F.col("at") + shift).cast("long").alias("id"))
+
+
+class Buckets:
+    """Names of pairs (context, word) of `words` numbered words, and the bucket of each."""
+
+    def __init__(self, words: int, buckets: int):
+        self.unknown, self.start, self.size, self.buckets = words, words + 1, words + 2, buckets
+
+    def pairs(self, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context of each token of the texts, and its pair; -1 if either word is unknown."""
+        context = np.r_[0, word[:-1]]
+        context[np.cumsum(sizes) - sizes] = self.start
+        return context, np.where((context == self.unknown) | (word == self.unknown), -1, context * self.size + word)
+
+    def dealt(self, pairs: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(bucket, places of its pairs in order) of sorted pairs."""
+        at = (uniform(pairs // self.size, 0) * self.buckets).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        bucket, first = np.unique(at[order], return_index=True)
+        return list(zip(bucket.tolist(), np.split(order, first[1:])))
+
+
+def seat_contexts(pairs: np.ndarray, n: np.ndarray, size: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Tables of each pair over all samples; contexts and the mean mass of their new tables; discount and concentration.
+
+    pairs: context * size + word, sorted; n: their tokens; parent: the probability of each word.
+    """
+    own, where = np.unique(pairs // size, return_inverse=True)
+    less = discount_of(n)
+    seats, follow, many = seats_of(less), np.bincount(where, n, len(own)), np.flatnonzero(n > 1)
+
+    def chain(concentration: float, sweeps: int):
+        tables = np.ones(len(n), np.int64)
+        for sweep in range(sweeps):
+            mass = concentration + less * np.bincount(where, tables, len(own))
+            yield tables, mass
+            if sweep < sweeps - 1:
+                tables = tables.copy()
+                tables[many] = seats.draw(n[many], mass[where[many]] * parent[many], uniform(pairs[many], sweep))
+
+    def left_out(concentration: float) -> float:
+        """Log probability of each pair by all others."""
+        *_, (tables, mass) = chain(concentration, 2)
+        alone = np.where(n == 1, mass[where] - less, mass[where])
+        p = np.maximum(n - 1 - less * np.where(n == 1, 0, tables), 0) + alone * parent
+        return float((n * np.log(p / (follow - 1 + concentration)[where])).sum())
+
+    best = max(CONTEXT_CONCENTRATIONS, key=left_out)
+    drawn, open_ = np.zeros(len(n), np.int64), np.zeros(len(own))
+    for sweep, (tables, mass) in enumerate(chain(best, CONTEXT_BURN_IN + SAMPLES)):
+        if sweep >= CONTEXT_BURN_IN:
+            drawn += tables
+            open_ += mass / SAMPLES
+    return drawn, own, open_ / (follow + best), less, best
+
+
+_SEATS = "kind int, id long, bucket int, value double, blob binary"
+
+
+def _seat_pairs(blocks: DataFrame, named: DataFrame, names: Buckets, counts: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
+    """kind 0: a bucket's answer to a block (id); 1: a word's mean of tables in a bucket; 2: a context's mass of new tables."""
+    first, many = counts  # of words with the same count the first number, and that count
+
+    def ask(group: pa.Table) -> pa.Table:
+        lead = group.column("blob").is_valid().to_numpy()
+        rest = group.select(["place", "id"]).filter(pa.array(~lead))
+        word = np.empty(rest.num_rows, np.int64)
+        word[rest.column("place").to_numpy()] = rest.column("id").to_numpy()
+        ids, sizes, places = _unpack(group.column("blob").filter(pa.array(lead))[0].as_py(), np.int64, np.int64, np.int32)
+        key = names.pairs(sizes, word[places])[1]
+        train = np.repeat([not is_held_out(None if k == _NULL else k) for k in ids.tolist()], sizes)
+        pairs = np.unique(key[key >= 0])
+        n = np.bincount(np.searchsorted(pairs, key[train & (key >= 0)]), minlength=len(pairs))
+        dealt = names.dealt(pairs)
+        blobs = [_pack(_planes(np.diff(pairs[at], prepend=0)), _planes(n[at])) for _, at in dealt]
+        block = group.column("block")[0].as_py()
+        return pa.table({"bucket": pa.array([k for k, _ in dealt], pa.int32()), "block": pa.array([block] * len(dealt), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    def seat(group: pa.Table) -> pa.Table:
+        parts = [tuple(map(_unplanes, _unpack(b, np.uint8, np.uint8))) for b in group.column("blob").to_pylist()]
+        keys = [np.cumsum(k) for k, _ in parts]
+        every = np.unique(np.concatenate(keys))
+        n = np.zeros(len(every), np.int64)
+        for k, (_, x) in zip(keys, parts):
+            n[np.searchsorted(every, k)] += x
+        there = n > 0
+        pairs, drawn, out = every[there], np.zeros(len(every), np.int64), []
+        bucket, less, best = group.column("bucket")[0].as_py(), 0.0, 1.0
+        if len(pairs):
+            word = pairs % names.size
+            parent = many[np.searchsorted(first, word, "right") - 1] / total
+            drawn[there], own, open_, less, best = seat_contexts(pairs, n[there], names.size, parent)
+            dish, where = np.unique(word, return_inverse=True)
+            for kind, ids, value in ((1, dish, np.bincount(where, drawn[there]) / SAMPLES), (2, own, open_)):
+                k = len(ids)
+                out.append(pa.table([pa.array(np.full(k, kind, np.int32)), pa.array(ids), pa.array(np.full(k, bucket, np.int32)), pa.array(value), pa.nulls(k, pa.binary())], names=["kind", "id", "bucket", "value", "blob"]))
+        at = [np.searchsorted(every, k) for k in keys]
+        blobs = [_pack(np.array([less, best]), _planes(n[x]), _planes(drawn[x])) for x in at]
+        k = len(blobs)
+        out.append(pa.table([pa.array(np.zeros(k, np.int32)), group.column("block").combine_chunks(), pa.array(np.full(k, bucket, np.int32)), pa.array(np.zeros(k)), pa.array(blobs, pa.binary())], names=["kind", "id", "bucket", "value", "blob"]))
+        return pa.concat_tables(out)
+
+    packed = blocks.where("kind = 0").select("block", "place", F.lit(None).cast("long").alias("id"), "blob")
+    told = blocks.where("kind = 1").join(named.select("word", "id"), "word", "left")
+    told = told.select("block", "place", F.coalesce("id", F.lit(names.unknown)).alias("id"), F.lit(None).cast("binary").alias("blob"))
+    asked = told.unionByName(packed).groupBy("block").applyInArrow(ask, "bucket int, block long, blob binary")
+    return materialize(asked.groupBy("bucket").applyInArrow(seat, _SEATS), "contexts", "kind")
 
 
 def _spelling_counts(vocab: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
@@ -449,16 +534,41 @@ def seat_words(words: list[bytes], c: np.ndarray, base: np.ndarray, mass: float,
     return np.stack([seats.draw(c, mass * base[:, k], uniform(key, k)) for k in range(SAMPLES)], axis=1)
 
 
+_CARRIED = ["id", "tokens", "open"]
+
+
+def _forget(spark, since: int = 0, until: int = 0) -> None:
+    """Drop scratch tables that nothing reads any more; shuffles of ended jobs go when the driver collects its garbage."""
+    release(spark, since, until)
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     blocks = materialize(_write_blocks(docs), "blocks", "kind")
     asked = blocks.where("kind = 1").select("block", "place", "word", "n")
+    begin_scratch = mark()
     vocab = materialize(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
     total, types = vocab.agg(F.sum("c"), F.count("*")).first()
     total, types = total or 0, types or 0
-    number, model = _context_model(docs, vocab, total)
-    rare = vocab.where(F.col("c") * FREQUENT < max(total, 1))
+    named = _numbered(vocab)
+    steps = vocab.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()  # as many as there are counts
+    many = np.array([r.c for r in steps], np.int64)
+    counts = np.cumsum([0, *(r.n for r in steps)])[:-1], many
+    names = Buckets(types, max(1, -(-total // BUCKET_TOKENS)))
+    numbers = mark()
+    _forget(spark, begin_scratch, begin_scratch + 1)
+    seats = _seat_pairs(blocks, named, names, counts, total)
+    _forget(spark)
+    opened = seats.where("kind = 2").select("id", F.col("value").alias("open"))
+    begin = opened.where(F.col("id") == names.start).first()
+    begin = begin.open if begin else 1.0
+    begun = docs.where(~(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 10 == 0))).count()
+    customers = seats.where("kind = 1").groupBy("id").agg(F.greatest(F.lit(1), F.round(F.sum("value"))).cast("long").alias("c"))
+    words = mark()
+    rare = materialize(named.withColumnRenamed("c", "tokens").join(customers, "id").join(opened, "id", "left").select("word", "c", "id", "tokens", F.coalesce("open", F.lit(1.0)).alias("open")), "words")
+    _forget(spark, numbers - 1, numbers)
     tokens, kinds, once, twice = rare.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     tokens, less = tokens or 0, discount(kinds, once, twice)
 
@@ -471,9 +581,11 @@ def score(docs: DataFrame) -> DataFrame:
             if words:
                 t = seat_words(words, c, spell(words, first.value), mass, less)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, SAMPLES, dtype=np.int32)), pa.array(t.ravel()))
-                yield pa.record_batch([b.column(0), b.column(1), lists], names=["word", "c", "t"])
+                yield pa.record_batch([b.column(0), b.column(1), lists, *b.columns[2:]], names=["word", "c", "t", *_CARRIED])
 
-    seated = materialize(rare.select("word", "c").mapInArrow(seat, "word binary, c long, t array<long>"), "seated")
+    carried = "id long, tokens long, open double"
+    seated = materialize(rare.select("word", "c", *_CARRIED).mapInArrow(seat, f"word binary, c long, t array<long>, {carried}"), "seated")
+    _forget(spark, words, words + 1)
     taken = seated.agg(*(F.sum(F.get("t", F.lit(k))) for k in range(SAMPLES))).first()
     open_ = CONCENTRATION + less * np.array([x or 0 for x in taken], np.float64)
     mean = F.greatest(F.lit(1), F.round(sum(F.get("t", F.lit(k)) for k in range(SAMPLES)) / SAMPLES))
@@ -486,45 +598,59 @@ def score(docs: DataFrame) -> DataFrame:
                 t = b.column(2).values.to_numpy().reshape(-1, SAMPLES)
                 base = spell(words, spelling.value)
                 p = ((c[:, None] - less * t + open_ * base) / (tokens + CONCENTRATION)).mean(axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, base.size + 1, SAMPLES, dtype=np.int32)), pa.array(base.ravel()))
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(np.log10(p)), lists], names=["word", "c", "log_p", "base"])
+                sums = pa.array([base.sum(axis=0).tolist(), *[None] * (len(words) - 1)], pa.list_(pa.float64()))  # of the batch
+                yield pa.record_batch([b.column(0), pa.array(np.log10(p)), sums, *b.columns[3:]], names=["word", "log_p", "base", *_CARRIED])
 
-    priced = materialize(seated.mapInArrow(price, "word binary, c long, log_p double, base array<double>"), "priced")
+    priced = materialize(seated.mapInArrow(price, f"word binary, log_p double, base array<double>, {carried}"), "priced")
+    _forget(spark, words + 1, words + 2)
     known = [min(x or 0.0, 1 - 1e-9) for x in priced.agg(*(F.sum(F.get("base", F.lit(k))) for k in range(SAMPLES))).first()]
     unknown = float(np.log10((open_ * (1 - np.array(known))).mean() / (tokens + CONCENTRATION)))
-    # frequent words have a class in place of a price; there are at most FREQUENT of them
-    listed = spark.createDataFrame([(bytearray(w), k) for w, k in number.items()], "word binary, class int").join(vocab, "word")
-    prices = priced.select("word", "c", "log_p", F.lit(len(number)).alias("class")).unionByName(listed.select("word", "c", F.lit(0.0).alias("log_p"), "class"))
-    answers = asked.join(prices, "word", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("log_p", F.lit(unknown)).alias("log_p"), F.coalesce("class", F.lit(len(number))).alias("class"), F.lit(None).cast("binary").alias("blob"))
-    packed = blocks.where("kind = 0").select("block", "place", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("log_p"), F.lit(None).cast("int").alias("class"), "blob")
-    floor, contexts = np.log10(total + 0.1 * (types + 1)), spark.sparkContext.broadcast(model)  # at most PAIRS entries
+    prices = priced.select("word", "log_p", "id", F.col("tokens").alias("c"), "open")
+    none = F.lit(None)
+    answers = asked.join(prices, "word", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("log_p", F.lit(unknown)).alias("log_p"), F.coalesce("id", F.lit(names.unknown)).alias("id"), F.coalesce("open", F.lit(1.0)).alias("open"), none.cast("int").alias("bucket"), none.cast("binary").alias("blob"))
+    empty = [none.cast("long").alias("c"), none.cast("double").alias("log_p"), none.cast("long").alias("id"), none.cast("double").alias("open")]
+    packed = blocks.where("kind = 0").select("block", "place", *empty, F.lit(-1).alias("bucket"), "blob")
+    replies = seats.where("kind = 0").select(F.col("id").alias("block"), F.lit(0).alias("place"), *empty, "bucket", "blob")
+    floor = np.log10(total + 0.1 * (types + 1))
 
     def finish(group: pa.Table) -> pa.Table:
         lead = group.column("blob").is_valid().to_numpy()
-        blob = group.column("blob").filter(pa.array(lead))[0].as_py()
-        rest = group.select(["place", "c", "log_p", "class"]).filter(pa.array(~lead))
+        blobs = dict(zip(group.column("bucket").filter(pa.array(lead)).to_pylist(), group.column("blob").filter(pa.array(lead)).to_pylist()))
+        rest = group.select(["place", "c", "log_p", "id", "open"]).filter(pa.array(~lead))
         place = rest.column("place").to_numpy()
-        c, log_p, kind = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place), np.int64)
-        c[place], log_p[place], kind[place] = rest.column("c").to_numpy(), rest.column("log_p").to_numpy(), rest.column("class").to_numpy()
-        ids, sizes, places = _unpack(blob, np.int64, np.int64, np.int32)
+        c, log_p, number, new = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place), np.int64), np.zeros(len(place))
+        for x, name in ((c, "c"), (log_p, "log_p"), (number, "id"), (new, "open")):
+            x[place] = rest.column(name).to_numpy()
+        ids, sizes, places = _unpack(blobs[-1], np.int64, np.int64, np.int32)
+        pairs = names.pairs(sizes, number[places])[1]
+        pairs = np.unique(pairs[pairs >= 0])
+        seated = np.ones((2, len(pairs)))  # tokens of a pair less its discounts, the concentration
+        for bucket, at in names.dealt(pairs):
+            head, n, tables = _unpack(blobs[bucket], np.float64, np.uint8, np.uint8)
+            seated[0, at], seated[1, at] = _unplanes(n) - head[0] * _unplanes(tables) / SAMPLES, head[1]
         start = np.cumsum(sizes) - sizes
         out = np.empty((3, len(ids)))
         value = np.stack([c > 0, np.log10(c + 0.1) - floor])
         for i, j in _spans(sizes, 1 << 19):  # whole documents, for bounded arrays
             own = places[start[i] : start[j - 1] + sizes[j - 1]]
-            dish = kind[own]
-            context = np.r_[0, dish[:-1]]
-            context[start[i:j] - start[i]] = len(number) + 1
-            paid = np.log10(contexts.value.probability(context, dish)) + log_p[own]
+            key = names.pairs(sizes[i:j], number[own])[1]
+            hit = np.flatnonzero(key >= 0)
+            at = np.searchsorted(pairs, key[hit])
+            before, begins = np.r_[own[:1], own[:-1]], start[i:j] - start[i]
+            mass, follow = new[before], c[before]
+            mass[begins], follow[begins] = begin, begun
+            p = mass * 10.0 ** log_p[own]
+            p[hit] += seated[0, at] / (follow[hit] + seated[1, at])
+            paid = np.log10(p)
             for k, x in enumerate((value[0][own], value[1][own], paid)):
-                out[k, i:j] = np.add.reduceat(x, start[i:j] - start[i])
+                out[k, i:j] = np.add.reduceat(x, begins)
         keys = [None if k == _NULL else k for k in ids.tolist()]
         return pa.table({
             "doc_id": pa.array(keys, pa.int64()), "held_out": pa.array([is_held_out(k) for k in keys]), "n_tokens": sizes,
             "n_known": out[0].astype(np.int64), "train_tokens": np.full(len(ids), int(total)), "base_score": out[1], "score": out[2],
         })
 
-    return answers.unionByName(packed).groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.unionByName(packed).unionByName(replies).groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _spans(sizes: np.ndarray, most: int):

@@ -258,6 +258,34 @@ def test_contexts_are_distributions():
         assert n[x, top] < 400 or p.argmax() == top
 
 
+def test_rare_pairs_and_contexts_count(spark, monkeypatch):
+    """What follows a word of two tokens is known, whatever its share of all tokens."""
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 8, raising=False)  # shares that once cut contexts and dishes
+    monkeypatch.setattr(pitman_yor, "PAIRS", 16, raising=False)
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 4000, raising=False)
+    train = [k for k in range(2000) if crc32(str(k).encode()) % 10]
+    held = [k for k in range(2000) if k not in set(train)][:2]
+    rows = [(k, f"the of rare{k % 450} mate{k % 450}") for k in train]
+    rows += [(held[0], " ".join(f"rare{k} mate{k}" for k in range(100))), (held[1], " ".join(f"rare{k} mate{k + 7}" for k in range(100)))]
+    got = {x.doc_id: x for x in pitman_yor.score(frame(spark, rows)).collect()}
+    assert got[held[0]].n_known == got[held[1]].n_known == 201
+    assert got[held[0]].score > got[held[1]].score + 50  # before: the same but for the spelling of seven words
+    again = {x.doc_id: x.score for x in pitman_yor.score(frame(spark, rows).repartition(5)).collect()}
+    assert all(math.isclose(again[k], got[k].score, rel_tol=1e-9) for k in got)
+
+
+def test_seated_contexts_sum_to_one():
+    r = np.random.default_rng(3)
+    size = 402
+    pairs, n = np.unique(r.zipf(1.4, 30000).clip(1, 60) * size + r.zipf(1.3, 30000).clip(1, 400) - 1, return_counts=True)
+    tables, own, open_, less, concentration = pitman_yor.seat_contexts(pairs, n, size, np.full(len(pairs), 1 / 400))
+    where = np.searchsorted(own, pairs // size)
+    total = np.bincount(where, n)
+    kept = np.bincount(where, n - less * tables / pitman_yor.SAMPLES) / (total + concentration)
+    assert (tables >= pitman_yor.SAMPLES).all() and (tables <= n * pitman_yor.SAMPLES).all()
+    assert np.allclose(kept + open_, 1, atol=1e-9)
+
+
 @pytest.mark.parametrize("less", [0.1, 0.5, 0.9])
 def test_seating_is_that_of_single_customers(less):
     """Table counts against Gibbs moves of one customer at a time, which need no Stirling numbers."""
