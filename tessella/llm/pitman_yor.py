@@ -28,8 +28,10 @@ and the concentration, from leaving out each pair, by bucket.
 Counting, seating and scoring run in Spark tasks. The driver gets the spelling counts (65536 * 257 at
 most) and how many words there are of each count (at most the root of twice the training tokens), and
 sends them to the tasks. Documents stay in the block that read them: their distinct words are asked for
-by block, and answers return to it. Its distinct pairs go, packed, to buckets of contexts, a row for each
-block and bucket; a bucket has all pairs of its contexts, seats them and answers each block.
+by block, and answers return to it. Questions and answers go packed, a row for each block and shard of the
+words; a shard has its training words once, with places that answers are looked up by. A block's distinct
+pairs go, packed, to buckets of contexts, a row for each block and bucket; a bucket has all pairs of its
+contexts, seats them and answers each block, and tells its words' tables to shards of the words' numbers.
 
 A null text is empty; an empty text has its end only. Repeated rows get a row each and count each
 in training; a null doc_id is not held out. An empty table gives no rows. Without training tokens
@@ -43,6 +45,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -55,6 +58,8 @@ from .common import byte_texts, mark, materialize, release, small_batches, table
 BLOCK_BYTES = 1 << 24
 #: Training tokens that a bucket of contexts has on average.
 BUCKET_TOKENS = 1 << 22
+#: Text bytes for which words get one shard, and shards at least.
+SHARD_BYTES, LEAST_SHARDS = 1 << 27, 48
 #: A share of the tokens that words of a Contexts table have; scores don't depend on it.
 FREQUENT = 1 << 15
 CONCENTRATION, BURN_IN, SAMPLES = 1.0, 6, 4
@@ -330,8 +335,8 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 _NULL = -(1 << 63)
-_BLOCKS = "kind int, block long, place int, word binary, n long, blob binary"
-_NAMES = ["kind", "block", "place", "word", "n", "blob"]
+_BLOCKS = "kind int, block long, shard int, blob binary"
+_NAMES = ["kind", "block", "shard", "blob"]
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -342,20 +347,25 @@ def _texts(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def _write_blocks(docs: DataFrame) -> DataFrame:
-    """kind 0: the documents of a block, packed as the places of their words in order; kind 1: its words."""
+def _write_blocks(docs: DataFrame, shards: int) -> DataFrame:
+    """kind 0: the documents of a block, packed as the places of their words in order; kind 1: its words of a shard."""
 
     def emit(block, index, train, ids, sizes, places):
-        blob = _pack(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate(places))
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([block]), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([0]), pa.array([blob], pa.binary())], names=_NAMES)
         words = list(index)
         n = np.zeros(len(words), np.int64)
         for t in train:
             n += np.bincount(t, minlength=len(words))
-        for i in range(0, len(words), 1 << 15):
-            w = words[i : i + (1 << 15)]
-            k = len(w)
-            yield pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), pa.array(np.arange(i, i + k, dtype=np.int32)), pa.array(w, pa.binary()), pa.array(n[i : i + k]), pa.nulls(k, pa.binary())], names=_NAMES)
+        shard = np.fromiter(map(crc32, words), np.int64, len(words)) % shards
+        order = np.argsort(shard, kind="stable")  # a block's words, shard by shard
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        blobs = [_pack(np.array(ids, np.int64), np.array(sizes, np.int64), place[np.concatenate(places)])]
+        found, first = np.unique(shard[order], return_index=True)
+        for own in np.split(order, first[1:]):
+            w = [words[i] for i in own.tolist()]
+            blobs.append(_pack(np.fromiter(map(len, w), np.int64, len(w)), _planes(n[own]), np.frombuffer(b"".join(w), np.uint8)))
+        for i, blob in enumerate(blobs):
+            yield pa.record_batch([pa.array([min(i, 1)], pa.int32()), pa.array([block]), pa.array([found[i - 1] if i else -1], pa.int32()), pa.array([blob], pa.binary())], names=_NAMES)
 
     def run(batches):
         block, size = TaskContext.get().partitionId() << 32, 0
@@ -385,23 +395,81 @@ def _write_blocks(docs: DataFrame) -> DataFrame:
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
-    """The bytes of whole numbers, all first bytes before all second ones, which packs better."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    """The bytes of numbers, all first bytes before all second ones, which packs better."""
+    x = x if x.dtype == np.float64 else x.astype(np.int64)
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unplanes(x: np.ndarray, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(kind)
+
+
+_VOCABULARY = "kind int, shard int, block long, place int, word binary, c long, blob binary"
+
+
+def _vocabulary(blocks: DataFrame) -> DataFrame:
+    """kind 1: the training words of a shard, with places in it; kind 0: the places, from 1 on, of a block's words in it, or 0."""
+
+    def unite(group: pa.Table) -> pa.Table:
+        parts = [_unpack(b, np.int64, np.uint8, np.uint8) for b in group.column("blob").to_pylist()]
+        texts = [pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(np.r_[0, np.cumsum(x)]), pa.py_buffer(data)]) for x, _, data in parts]
+        words = pa.concat_arrays(texts).dictionary_encode()
+        at = words.indices.to_numpy()
+        c = np.bincount(at, np.concatenate([_unplanes(n) for _, n, _ in parts])).astype(np.int64)  # exact up to 2^53
+        place = np.where(c > 0, np.cumsum(c > 0), 0)
+        blobs = [_pack(_planes(x)) for x in np.split(place[at], np.cumsum([len(x) for x, _, _ in parts])[:-1])]
+        shard, k, out = group.column("shard")[0].as_py(), len(blobs), []
+        lead = [pa.array(np.zeros(k, np.int32)), pa.array(np.full(k, shard, np.int32)), group.column("block").combine_chunks()]
+        out.append(pa.table([*lead, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(blobs, pa.binary())], names=fields))
+        known, c = words.dictionary.filter(pa.array(c > 0)), c[c > 0]
+        for i in range(0, len(c), 1 << 15):
+            w = known.slice(i, 1 << 15).cast(pa.binary())
+            k = len(w)
+            lead = [pa.array(np.ones(k, np.int32)), pa.array(np.full(k, shard, np.int32)), pa.nulls(k, pa.int64())]
+            out.append(pa.table([*lead, pa.array(np.arange(i, i + k, dtype=np.int32)), w, pa.array(c[i : i + k]), pa.nulls(k, pa.binary())], names=fields))
+        return pa.concat_tables(out)
+
+    fields = [x.split()[0] for x in _VOCABULARY.split(", ")]
+    return materialize(blocks.where("kind = 1").select("shard", "block", "blob").groupBy("shard").applyInArrow(unite, _VOCABULARY), "vocabulary", "kind")
+
+
+def _told(words: DataFrame, asked: DataFrame, **absent) -> DataFrame:
+    """block, shard, blob: the columns that `absent` names, packed, of each of a block's words in a shard; its values are for words without a place.
+
+    words: shard, place and these columns; asked: shard, block and blob, the places from 1 on or 0.
+    """
 
+    def tell(group: pa.Table) -> pa.Table:
+        lead = group.column("blob").is_valid()
+        rows, asks = group.filter(pc.invert(lead)), group.filter(lead)
+        place, columns = rows.column("place").to_numpy(), []
+        for name, value in absent.items():
+            x = np.full(len(place) + 1, value)
+            x[place + 1] = rows.column(name).to_numpy()
+            columns.append(x)
+        at = [_unplanes(_unpack(b, np.uint8)[0]) for b in asks.column("blob").to_pylist()]
+        blobs = [_pack(*(_planes(x[k]) for x in columns)) for k in at]
+        return pa.table([asks.column("block"), asks.column("shard"), pa.array(blobs, pa.binary())], names=["block", "shard", "blob"])
 
-def _unplanes(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.reshape(8, -1).T).reshape(-1).view(np.int64)
+    rows = words.select("shard", "place", *absent).unionByName(asked.select("shard", "block", "blob"), allowMissingColumns=True)
+    return rows.groupBy("shard").applyInArrow(tell, "block long, shard int, blob binary")
+
+
+def _by_shard(blobs: dict[int, bytes], *kinds) -> list[np.ndarray]:
+    """Columns of a block's words, shard by shard."""
+    parts = [_unpack(blobs[k], *[np.uint8] * len(kinds)) for k in sorted(blobs)]
+    return [np.concatenate([_unplanes(p[i], kind) for p in parts]) for i, kind in enumerate(kinds)]
 
 
 def _numbered(vocab: DataFrame) -> DataFrame:
-    """word, c, id: numbers from 0 on by falling count."""
+    """The vocabulary with id: numbers from 0 on by falling count."""
     at = F.monotonically_increasing_id()
-    rows = materialize(vocab.orderBy(F.desc("c"), "word").select("word", "c", at.alias("at")), "numbered")
+    rows = materialize(vocab.orderBy(F.desc("c"), "word").select("*", at.alias("at")), "numbered")
     part, offset, cases = F.shiftright("at", 33), 0, {}
     for r in rows.groupBy(part.alias("k")).agg(F.count("*").alias("n")).orderBy("k").collect():  # a row a partition
         cases[r.k], offset = offset - (r.k << 33), offset + r.n
     shift = F.create_map(*(F.lit(x) for kv in cases.items() for x in kv))[part] if cases else F.lit(0)
-    return rows.select("word", "c", (F.col("at") + shift).cast("long").alias("id"))
+    return rows.select(*vocab.columns, (F.col("at") + shift).cast("long").alias("id"))
 
 
 class Buckets:
@@ -418,7 +486,7 @@ class Buckets:
 
     def dealt(self, pairs: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(bucket, places of its pairs in order) of sorted pairs."""
-        at = (uniform(pairs // self.size, 0) * self.buckets).astype(np.int64)
+        at = (uniform(pairs // self.size, 0) * self.buckets).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
         order = np.argsort(at, kind="stable")
         bucket, first = np.unique(at[order], return_index=True)
         return list(zip(bucket.tolist(), np.split(order, first[1:])))
@@ -458,59 +526,84 @@ def seat_contexts(pairs: np.ndarray, n: np.ndarray, size: int, parent: np.ndarra
     return drawn, own, open_ / (follow + best), less, best
 
 
-_SEATS = "kind int, id long, bucket int, value double, blob binary"
+_SEATS = "kind int, at long, bucket int, value double, blob binary"
 
 
-def _seat_pairs(blocks: DataFrame, named: DataFrame, names: Buckets, counts: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
-    """kind 0: a bucket's answer to a block (id); 1: a word's mean of tables in a bucket; 2: a context's mass of new tables."""
+def _seat_pairs(blocks: DataFrame, told: DataFrame, names: Buckets, counts: tuple[np.ndarray, np.ndarray], total: int, shards: int) -> DataFrame:
+    """kind 0: a bucket's answer to a block (at); 1: its tables of words and its contexts' masses of new tables, of numbers
+    that leave the remainder at; 2: the mass of a text's begin."""
     first, many = counts  # of words with the same count the first number, and that count
 
     def ask(group: pa.Table) -> pa.Table:
-        lead = group.column("blob").is_valid().to_numpy()
-        rest = group.select(["place", "id"]).filter(pa.array(~lead))
-        word = np.empty(rest.num_rows, np.int64)
-        word[rest.column("place").to_numpy()] = rest.column("id").to_numpy()
-        ids, sizes, places = _unpack(group.column("blob").filter(pa.array(lead))[0].as_py(), np.int64, np.int64, np.int32)
-        key = names.pairs(sizes, word[places])[1]
+        blobs = dict(zip(group.column("shard").to_pylist(), group.column("blob").to_pylist()))
+        ids, sizes, places = _unpack(blobs.pop(-1), np.int64, np.int64, np.int32)
+        key = names.pairs(sizes, _by_shard(blobs, np.int64)[0][places])[1]
         train = np.repeat([not is_held_out(None if k == _NULL else k) for k in ids.tolist()], sizes)
-        pairs = np.unique(key[key >= 0])
-        n = np.bincount(np.searchsorted(pairs, key[train & (key >= 0)]), minlength=len(pairs))
+        pairs, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at[train], minlength=len(pairs))[pairs >= 0]
+        pairs = pairs[pairs >= 0]
         dealt = names.dealt(pairs)
-        blobs = [_pack(_planes(np.diff(pairs[at], prepend=0)), _planes(n[at])) for _, at in dealt]
+        packed = [_pack(_planes(np.diff(pairs[at], prepend=0)), _planes(n[at])) for _, at in dealt]
         block = group.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array([k for k, _ in dealt], pa.int32()), "block": pa.array([block] * len(dealt), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"bucket": pa.array([k for k, _ in dealt], pa.int32()), "block": pa.array([block] * len(dealt), pa.int64()), "blob": pa.array(packed, pa.binary())})
 
     def seat(group: pa.Table) -> pa.Table:
         parts = [tuple(map(_unplanes, _unpack(b, np.uint8, np.uint8))) for b in group.column("blob").to_pylist()]
-        keys = [np.cumsum(k) for k, _ in parts]
-        every = np.unique(np.concatenate(keys))
-        n = np.zeros(len(every), np.int64)
-        for k, (_, x) in zip(keys, parts):
-            n[np.searchsorted(every, k)] += x
+        every, at = np.unique(np.concatenate([np.cumsum(k) for k, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([x for _, x in parts])).astype(np.int64)  # exact up to 2^53
+        at = np.split(at, np.cumsum([len(k) for k, _ in parts])[:-1])
         there = n > 0
         pairs, drawn, out = every[there], np.zeros(len(every), np.int64), []
         bucket, less, best = group.column("bucket")[0].as_py(), 0.0, 1.0
+
+        def add(kind, to, value, blobs):
+            k = len(to)
+            out.append(pa.table([pa.array(np.full(k, kind, np.int32)), pa.array(to, pa.int64()), pa.array(np.full(k, bucket, np.int32)), pa.array(np.full(k, value)), pa.array(blobs, pa.binary())], names=["kind", "at", "bucket", "value", "blob"]))
+
         if len(pairs):
             word = pairs % names.size
             parent = many[np.searchsorted(first, word, "right") - 1] / total
             drawn[there], own, open_, less, best = seat_contexts(pairs, n[there], names.size, parent)
+            if own[-1] == names.start:
+                add(2, [names.start], open_[-1], [None])
             dish, where = np.unique(word, return_inverse=True)
-            for kind, ids, value in ((1, dish, np.bincount(where, drawn[there]) / SAMPLES), (2, own, open_)):
-                k = len(ids)
-                out.append(pa.table([pa.array(np.full(k, kind, np.int32)), pa.array(ids), pa.array(np.full(k, bucket, np.int32)), pa.array(value), pa.nulls(k, pa.binary())], names=["kind", "id", "bucket", "value", "blob"]))
-        at = [np.searchsorted(every, k) for k in keys]
-        blobs = [_pack(np.array([less, best]), _planes(n[x]), _planes(drawn[x])) for x in at]
-        k = len(blobs)
-        out.append(pa.table([pa.array(np.zeros(k, np.int32)), group.column("block").combine_chunks(), pa.array(np.full(k, bucket, np.int32)), pa.array(np.zeros(k)), pa.array(blobs, pa.binary())], names=["kind", "id", "bucket", "value", "blob"]))
+            tables = np.bincount(where, drawn[there]).astype(np.int64)
+            blobs = []
+            for k in range(shards):
+                d, c = dish % shards == k, (own % shards == k) & (own != names.start)
+                blobs.append(_pack(_planes(np.diff(dish[d], prepend=0)), _planes(tables[d]), _planes(np.diff(own[c], prepend=0)), _planes(open_[c])))
+            add(1, list(range(shards)), 0.0, blobs)
+        add(0, group.column("block").to_pylist(), 0.0, [_pack(np.array([less, best]), _planes(n[x]), _planes(drawn[x])) for x in at])
         return pa.concat_tables(out)
 
-    packed = blocks.where("kind = 0").select("block", "place", F.lit(None).cast("long").alias("id"), "blob")
-    told = blocks.where("kind = 1").join(named.select("word", "id"), "word", "left")
-    told = told.select("block", "place", F.coalesce("id", F.lit(names.unknown)).alias("id"), F.lit(None).cast("binary").alias("blob"))
+    packed = blocks.where("kind = 0").select("block", "shard", "blob")
     asked = told.unionByName(packed).groupBy("block").applyInArrow(ask, "bucket int, block long, blob binary")
     return materialize(asked.groupBy("bucket").applyInArrow(seat, _SEATS), "contexts", "kind")
 
 
+_CARRIED = ["id", "tokens", "open", "shard", "place"]
+_CARRIED_TYPES = "id long, tokens long, open double, shard int, place int"
+
+
+def _customers(named: DataFrame, seats: DataFrame, shards: int) -> DataFrame:
+    """word, its customers c (the mean of its samples' tables in all contexts), and what is carried along."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        lead = group.column("blob").is_valid()
+        rows, slot = group.filter(pc.invert(lead)), group.column("slot")[0].as_py()
+        at = rows.column("id").to_numpy() // shards
+        tables, open_ = np.zeros(at.max(initial=-1) + 1, np.int64), np.ones(at.max(initial=-1) + 1)
+        for blob in group.filter(lead).column("blob").to_pylist():
+            dish, n, own, x = _unpack(blob, *[np.uint8] * 4)
+            tables[(np.cumsum(_unplanes(dish)) - slot) // shards] += _unplanes(n)
+            open_[(np.cumsum(_unplanes(own)) - slot) // shards] = _unplanes(x, np.float64)
+        # halves are rounded up
+        return rows.select(["word"]).append_column("c", pa.array(np.maximum(1, (2 * tables[at] + SAMPLES) // (2 * SAMPLES)))).append_column("id", rows.column("id")).append_column("tokens", rows.column("c")).append_column("open", pa.array(open_[at])).append_column("shard", rows.column("shard")).append_column("place", rows.column("place"))
+
+    rows = named.withColumn("slot", F.col("id") % shards).unionByName(seats.where("kind = 1").select(F.col("at").alias("slot"), "blob"), allowMissingColumns=True)
+    return rows.groupBy("slot").applyInArrow(gather, f"word binary, c long, {_CARRIED_TYPES}")
+
+
 def _spelling_counts(vocab: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     """Counts of packed spelling keys, words weighted by their tables."""
 
@@ -534,9 +627,6 @@ def seat_words(words: list[bytes], c: np.ndarray, base: np.ndarray, mass: float,
     return np.stack([seats.draw(c, mass * base[:, k], uniform(key, k)) for k in range(SAMPLES)], axis=1)
 
 
-_CARRIED = ["id", "tokens", "open"]
-
-
 def _forget(spark, since: int = 0, until: int = 0) -> None:
     """Drop scratch tables that nothing reads any more; shuffles of ended jobs go when the driver collects its garbage."""
     release(spark, since, until)
@@ -546,29 +636,28 @@ def _forget(spark, since: int = 0, until: int = 0) -> None:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
-    blocks = materialize(_write_blocks(docs), "blocks", "kind")
-    asked = blocks.where("kind = 1").select("block", "place", "word", "n")
-    begin_scratch = mark()
-    vocab = materialize(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
+    held_out = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 10 == 0)
+    size, begun = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.count_if(~held_out)).first()
+    shards = max(LEAST_SHARDS, -(-(size or 0) // SHARD_BYTES))
+    blocks = materialize(_write_blocks(docs, shards), "blocks", "kind")
+    united = _vocabulary(blocks)
+    vocab, places = united.where("kind = 1").select("word", "c", "shard", "place"), united.where("kind = 0").select("shard", "block", "blob")
     total, types = vocab.agg(F.sum("c"), F.count("*")).first()
     total, types = total or 0, types or 0
+    numbers = mark()
     named = _numbered(vocab)
     steps = vocab.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()  # as many as there are counts
     many = np.array([r.c for r in steps], np.int64)
     counts = np.cumsum([0, *(r.n for r in steps)])[:-1], many
     names = Buckets(types, max(1, -(-total // BUCKET_TOKENS)))
-    numbers = mark()
-    _forget(spark, begin_scratch, begin_scratch + 1)
-    seats = _seat_pairs(blocks, named, names, counts, total)
     _forget(spark)
-    opened = seats.where("kind = 2").select("id", F.col("value").alias("open"))
-    begin = opened.where(F.col("id") == names.start).first()
-    begin = begin.open if begin else 1.0
-    begun = docs.where(~(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 10 == 0))).count()
-    customers = seats.where("kind = 1").groupBy("id").agg(F.greatest(F.lit(1), F.round(F.sum("value"))).cast("long").alias("c"))
+    seats = _seat_pairs(blocks, _told(named, places, id=names.unknown), names, counts, total, shards)
+    _forget(spark)
+    begin = seats.where("kind = 2").first()
+    begin = begin.value if begin else 1.0
     words = mark()
-    rare = materialize(named.withColumnRenamed("c", "tokens").join(customers, "id").join(opened, "id", "left").select("word", "c", "id", "tokens", F.coalesce("open", F.lit(1.0)).alias("open")), "words")
-    _forget(spark, numbers - 1, numbers)
+    rare = materialize(_customers(named, seats, shards), "words")
+    _forget(spark, numbers, numbers + 1)
     tokens, kinds, once, twice = rare.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     tokens, less = tokens or 0, discount(kinds, once, twice)
 
@@ -583,8 +672,7 @@ def score(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, SAMPLES, dtype=np.int32)), pa.array(t.ravel()))
                 yield pa.record_batch([b.column(0), b.column(1), lists, *b.columns[2:]], names=["word", "c", "t", *_CARRIED])
 
-    carried = "id long, tokens long, open double"
-    seated = materialize(rare.select("word", "c", *_CARRIED).mapInArrow(seat, f"word binary, c long, t array<long>, {carried}"), "seated")
+    seated = materialize(rare.select("word", "c", *_CARRIED).mapInArrow(seat, f"word binary, c long, t array<long>, {_CARRIED_TYPES}"), "seated")
     _forget(spark, words, words + 1)
     taken = seated.agg(*(F.sum(F.get("t", F.lit(k))) for k in range(SAMPLES))).first()
     open_ = CONCENTRATION + less * np.array([x or 0 for x in taken], np.float64)
@@ -601,41 +689,37 @@ def score(docs: DataFrame) -> DataFrame:
                 sums = pa.array([base.sum(axis=0).tolist(), *[None] * (len(words) - 1)], pa.list_(pa.float64()))  # of the batch
                 yield pa.record_batch([b.column(0), pa.array(np.log10(p)), sums, *b.columns[3:]], names=["word", "log_p", "base", *_CARRIED])
 
-    priced = materialize(seated.mapInArrow(price, f"word binary, log_p double, base array<double>, {carried}"), "priced")
+    priced = materialize(seated.mapInArrow(price, f"word binary, log_p double, base array<double>, {_CARRIED_TYPES}"), "priced")
     _forget(spark, words + 1, words + 2)
     known = [min(x or 0.0, 1 - 1e-9) for x in priced.agg(*(F.sum(F.get("base", F.lit(k))) for k in range(SAMPLES))).first()]
     unknown = float(np.log10((open_ * (1 - np.array(known))).mean() / (tokens + CONCENTRATION)))
-    prices = priced.select("word", "log_p", "id", F.col("tokens").alias("c"), "open")
-    none = F.lit(None)
-    answers = asked.join(prices, "word", "left").select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("log_p", F.lit(unknown)).alias("log_p"), F.coalesce("id", F.lit(names.unknown)).alias("id"), F.coalesce("open", F.lit(1.0)).alias("open"), none.cast("int").alias("bucket"), none.cast("binary").alias("blob"))
-    empty = [none.cast("long").alias("c"), none.cast("double").alias("log_p"), none.cast("long").alias("id"), none.cast("double").alias("open")]
-    packed = blocks.where("kind = 0").select("block", "place", *empty, F.lit(-1).alias("bucket"), "blob")
-    replies = seats.where("kind = 0").select(F.col("id").alias("block"), F.lit(0).alias("place"), *empty, "bucket", "blob")
+    prices = priced.select("shard", "place", F.col("tokens").alias("c"), "log_p", "id", "open")
+    told = _told(prices, places, c=0, log_p=unknown, id=names.unknown, open=1.0)
+    packed = blocks.where("kind = 0").select("block", "shard", "blob")
+    replies = seats.where("kind = 0").select(F.col("at").alias("block"), "bucket", "blob")
     floor = np.log10(total + 0.1 * (types + 1))
 
     def finish(group: pa.Table) -> pa.Table:
-        lead = group.column("blob").is_valid().to_numpy()
-        blobs = dict(zip(group.column("bucket").filter(pa.array(lead)).to_pylist(), group.column("blob").filter(pa.array(lead)).to_pylist()))
-        rest = group.select(["place", "c", "log_p", "id", "open"]).filter(pa.array(~lead))
-        place = rest.column("place").to_numpy()
-        c, log_p, number, new = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place), np.int64), np.zeros(len(place))
-        for x, name in ((c, "c"), (log_p, "log_p"), (number, "id"), (new, "open")):
-            x[place] = rest.column(name).to_numpy()
-        ids, sizes, places = _unpack(blobs[-1], np.int64, np.int64, np.int32)
-        pairs = names.pairs(sizes, number[places])[1]
-        pairs = np.unique(pairs[pairs >= 0])
+        blobs, answers = {}, {}
+        for shard, bucket, blob in zip(*(group.column(k).to_pylist() for k in ("shard", "bucket", "blob"))):
+            (answers if shard is None else blobs)[bucket if shard is None else shard] = blob
+        ids, sizes, places = _unpack(blobs.pop(-1), np.int64, np.int64, np.int32)
+        c, log_p, number, new = _by_shard(blobs, np.int64, np.float64, np.int64, np.float64)
+        pairs, pair = np.unique(names.pairs(sizes, number[places])[1], return_inverse=True)
+        pair = pair.astype(np.int32) - int((pairs < 0).sum())  # -1 if a word is unknown
+        pairs = pairs[pairs >= 0]
         seated = np.ones((2, len(pairs)))  # tokens of a pair less its discounts, the concentration
         for bucket, at in names.dealt(pairs):
-            head, n, tables = _unpack(blobs[bucket], np.float64, np.uint8, np.uint8)
+            head, n, tables = _unpack(answers[bucket], np.float64, np.uint8, np.uint8)
             seated[0, at], seated[1, at] = _unplanes(n) - head[0] * _unplanes(tables) / SAMPLES, head[1]
         start = np.cumsum(sizes) - sizes
         out = np.empty((3, len(ids)))
         value = np.stack([c > 0, np.log10(c + 0.1) - floor])
         for i, j in _spans(sizes, 1 << 19):  # whole documents, for bounded arrays
-            own = places[start[i] : start[j - 1] + sizes[j - 1]]
-            key = names.pairs(sizes[i:j], number[own])[1]
-            hit = np.flatnonzero(key >= 0)
-            at = np.searchsorted(pairs, key[hit])
+            span = slice(start[i], start[j - 1] + sizes[j - 1])
+            own = places[span]
+            hit = np.flatnonzero(pair[span] >= 0)
+            at = pair[span][hit]
             before, begins = np.r_[own[:1], own[:-1]], start[i:j] - start[i]
             mass, follow = new[before], c[before]
             mass[begins], follow[begins] = begin, begun
@@ -650,7 +734,7 @@ def score(docs: DataFrame) -> DataFrame:
             "n_known": out[0].astype(np.int64), "train_tokens": np.full(len(ids), int(total)), "base_score": out[1], "score": out[2],
         })
 
-    return answers.unionByName(packed).unionByName(replies).groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return told.unionByName(packed).unionByName(replies, allowMissingColumns=True).groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _spans(sizes: np.ndarray, most: int):

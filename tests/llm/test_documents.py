@@ -274,6 +274,25 @@ def test_rare_pairs_and_contexts_count(spark, monkeypatch):
     assert all(math.isclose(again[k], got[k].score, rel_tol=1e-9) for k in got)
 
 
+def shuffled_rows(spark):
+    """Rows that stages so far wrote to shuffles."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), None)
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+
+def test_words_of_blocks_travel_packed(spark):
+    """Blocks that share their words send them to the vocabulary and get their prices in few rows, with the same scores."""
+    words, parts = 2000, 8
+    rows = [(k, " ".join(f"w{(k * 7 + j) % words}" for j in range(words))) for k in range(parts * 4)]
+    before = shuffled_rows(spark)
+    got = {x.doc_id: x for x in pitman_yor.score(frame(spark, rows).repartition(parts, "doc_id")).collect()}
+    assert sum(n for k, n in shuffled_rows(spark).items() if k not in before) < 2 * parts * words  # before: three rows for each word of a block
+    assert all(x.n_tokens == x.n_known == words + 1 for x in got.values()) and len(got) == len(rows)
+    whole = {x.doc_id: x.score for x in pitman_yor.score(frame(spark, rows).coalesce(1)).collect()}
+    assert all(math.isclose(whole[k], got[k].score, rel_tol=1e-9) for k in got)
+
+
 def test_seated_contexts_sum_to_one():
     r = np.random.default_rng(3)
     size = 402
