@@ -497,7 +497,9 @@ def seat_contexts(pairs: np.ndarray, n: np.ndarray, size: int, parent: np.ndarra
 
     pairs: context * size + word, sorted; n: their tokens; parent: the probability of each word.
     """
-    own, where = np.unique(pairs // size, return_inverse=True)
+    own = pairs // size
+    new = np.diff(own, prepend=-1) > 0
+    own, where = own[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
     less = discount_of(n)
     seats, follow, many = seats_of(less), np.bincount(where, n, len(own)), np.flatnonzero(n > 1)
 
@@ -513,9 +515,13 @@ def seat_contexts(pairs: np.ndarray, n: np.ndarray, size: int, parent: np.ndarra
     def left_out(concentration: float) -> float:
         """Log probability of each pair by all others."""
         *_, (tables, mass) = chain(concentration, 2)
-        alone = np.where(n == 1, mass[where] - less, mass[where])
-        p = np.maximum(n - 1 - less * np.where(n == 1, 0, tables), 0) + alone * parent
-        return float((n * np.log(p / (follow - 1 + concentration)[where])).sum())
+        found = 0.0
+        for i in range(0, len(n), 1 << 18):  # for small arrays
+            k = slice(i, i + (1 << 18))
+            alone = np.where(n[k] == 1, mass[where[k]] - less, mass[where[k]])
+            p = np.maximum(n[k] - 1 - less * np.where(n[k] == 1, 0, tables[k]), 0) + alone * parent[k]
+            found += float((n[k] * np.log(p / (follow - 1 + concentration)[where[k]])).sum())
+        return found
 
     best = max(CONTEXT_CONCENTRATIONS, key=left_out)
     drawn, open_ = np.zeros(len(n), np.int64), np.zeros(len(own))
@@ -526,6 +532,12 @@ def seat_contexts(pairs: np.ndarray, n: np.ndarray, size: int, parent: np.ndarra
     return drawn, own, open_ / (follow + best), less, best
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers of x, which is sorted in place."""
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 _SEATS = "kind int, at long, bucket int, value double, blob binary"
 
 
@@ -548,32 +560,42 @@ def _seat_pairs(blocks: DataFrame, told: DataFrame, names: Buckets, counts: tupl
         return pa.table({"bucket": pa.array([k for k, _ in dealt], pa.int32()), "block": pa.array([block] * len(dealt), pa.int64()), "blob": pa.array(packed, pa.binary())})
 
     def seat(group: pa.Table) -> pa.Table:
-        parts = [tuple(map(_unplanes, _unpack(b, np.uint8, np.uint8))) for b in group.column("blob").to_pylist()]
-        every, at = np.unique(np.concatenate([np.cumsum(k) for k, _ in parts]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([x for _, x in parts])).astype(np.int64)  # exact up to 2^53
-        at = np.split(at, np.cumsum([len(k) for k, _ in parts])[:-1])
-        there = n > 0
-        pairs, drawn, out = every[there], np.zeros(len(every), np.int64), []
+        def asked():
+            for blob in group.column("blob").to_pylist():
+                steps, x = _unpack(blob, np.uint8, np.uint8)
+                yield np.cumsum(_unplanes(steps)), _unplanes(x)
+
+        every = _distinct(np.concatenate([k for k, _ in asked()]))
+        n = np.zeros(len(every), np.int64)
+        for k, x in asked():
+            n[np.searchsorted(every, k)] += x
+        there, drawn, out = n > 0, np.zeros(len(every), np.int64), []
         bucket, less, best = group.column("bucket")[0].as_py(), 0.0, 1.0
 
         def add(kind, to, value, blobs):
             k = len(to)
             out.append(pa.table([pa.array(np.full(k, kind, np.int32)), pa.array(to, pa.int64()), pa.array(np.full(k, bucket, np.int32)), pa.array(np.full(k, value)), pa.array(blobs, pa.binary())], names=["kind", "at", "bucket", "value", "blob"]))
 
-        if len(pairs):
-            word = pairs % names.size
-            parent = many[np.searchsorted(first, word, "right") - 1] / total
+        if there.any():
+            pairs = every[there]
+            parent = many[np.searchsorted(first, pairs % names.size, "right") - 1] / total
             drawn[there], own, open_, less, best = seat_contexts(pairs, n[there], names.size, parent)
+            del parent
             if own[-1] == names.start:
                 add(2, [names.start], open_[-1], [None])
-            dish, where = np.unique(word, return_inverse=True)
+            dish, where = np.unique(pairs % names.size, return_inverse=True)
             tables = np.bincount(where, drawn[there]).astype(np.int64)
+            del pairs, where
             blobs = []
             for k in range(shards):
                 d, c = dish % shards == k, (own % shards == k) & (own != names.start)
                 blobs.append(_pack(_planes(np.diff(dish[d], prepend=0)), _planes(tables[d]), _planes(np.diff(own[c], prepend=0)), _planes(open_[c])))
             add(1, list(range(shards)), 0.0, blobs)
-        add(0, group.column("block").to_pylist(), 0.0, [_pack(np.array([less, best]), _planes(n[x]), _planes(drawn[x])) for x in at])
+        blobs = []
+        for k, _ in asked():
+            at = np.searchsorted(every, k)
+            blobs.append(_pack(np.array([less, best]), _planes(n[at]), _planes(drawn[at])))
+        add(0, group.column("block").to_pylist(), 0.0, blobs)
         return pa.concat_tables(out)
 
     packed = blocks.where("kind = 0").select("block", "shard", "blob")
